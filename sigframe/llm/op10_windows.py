@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sigframe.llm.common import BLOCKS, blocks, byte_sums, gathered, mix, partitions, ranges, read, running, span_hash, texts_in, words_of
-from sigframe.llm.repeats import covered, doc_key, positions, repeated
+from sigframe.llm.repeats import WHOLE, covered, doc_key, positions, repeated
 
 WINDOW = 50
 #: A difference cover and its period.
@@ -76,8 +76,8 @@ def closer(doubt: DataFrame) -> DataFrame:
             words, first = _hashed(data, offsets)
             one, two = running(words), running(words, 77)
             ks, ths = some.column("k").to_pylist(), some.column("th").to_pylist()
-            for i, part in enumerate(some.column("part").to_pylist()):
-                count = int(first[i + 1] - first[i])
+            for i, (part, many) in enumerate(zip(some.column("part").to_pylist(), some.column("many").to_pylist())):
+                count, part = int(first[i + 1] - first[i]), part + many
                 low = np.maximum(positions(part) - BACK, 0)
                 high = np.minimum(positions(part), count - WINDOW)
                 at = np.unique(ranges(low, np.maximum(high - low + 1, 0)))
@@ -95,9 +95,9 @@ def closer(doubt: DataFrame) -> DataFrame:
         found, _, _ = earlier(h, g, k)
         out = np.flatnonzero(found | (done > 0))
         if len(out):
-            yield blocks(doc_key(k[out], th[out]), (k[out], th[out], at[out], np.ones(len(out), np.int8)), buckets)
+            yield blocks(doc_key(k[out], th[out]), (k[out], th[out], at[out], np.full(len(out), WHOLE, np.int8)), buckets)
 
-    return doubt.select("k", "th", "text", "part").mapInArrow(find, BLOCKS).repartition(buckets, "bucket").mapInArrow(compare, BLOCKS)
+    return doubt.select("k", "th", "text", "part", "many").mapInArrow(find, BLOCKS).repartition(buckets, "bucket").mapInArrow(compare, BLOCKS)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

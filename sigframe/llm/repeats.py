@@ -10,7 +10,8 @@ its start, and windows that are equal hold equal anchors at equal distances. So:
    repeated windows there.
 3. Each document gets what repeats in it.
 
-Records are packed, and combined before each shuffle: of a surrounding that a task meets again and again, one goes on.
+Records are packed, and combined before each shuffle: of a surrounding that a task meets again and again, one goes on;
+an anchor that a task meets in many surroundings is sure to need the closer look, so two witnesses go on for the rest.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from pyspark.sql import functions as F
 
 from sigframe.llm.common import BLOCKS, blocks, cut, gathered, keyed, mix, partitions, texts_in
 
-RECORD = ("<u8", "<u8", "<i8", "<i4", "<i4", "<i1")  # anchor, surroundings, k, th, position, done
-MARK = ("<i8", "<i4", "<i4", "<i1")  # k, th, position, whole
+RECORD = ("<u8", "<u8", "<i8", "<i4", "<i4", "<i1")  # anchor, surroundings, k, th, position, state
+MARK = ("<i8", "<i4", "<i4", "<i1")  # k, th, position, state
+#: States: to be compared, repeated in full, in doubt among many, a witness of many.
+OPEN, WHOLE, MANY, WITNESS = 0, 1, 2, 3
+#: Unlike surroundings of one anchor that count as many: in a task's batch, and in all.
+MANY_HERE, MANY_IN_ALL = 16, 256
 #: Anchors that a task combines at a time.
 BATCH = 1_500_000
 
@@ -60,15 +65,33 @@ def combined(h: np.ndarray, around: np.ndarray, k: np.ndarray, th: np.ndarray, p
     return whole
 
 
+def _runs(h: np.ndarray) -> np.ndarray:
+    """Where the runs of a sorted array begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
+
+
 def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchors], by_document: bool) -> DataFrame:
-    """k, th, whole, part for documents with repeats: packed positions of anchors whose surroundings repeat in full, and
-    of those that need a closer look."""
+    """k, th, whole, part, many for documents with repeats: packed positions of anchors whose surroundings repeat in
+    full, of those that need a closer look, and of those that need one and stand in many surroundings."""
     buckets = partitions(docs.sparkSession)
 
     def flush(held: list) -> pa.RecordBatch:
         h, around, k, th, pos = (np.concatenate(x) for x in zip(*held))
-        whole = combined(h, around, k, th, pos, by_document)
-        return blocks(np.where(whole, doc_key(k, th), h), (h, around, k, th, pos, whole.astype(np.int8)), buckets)
+        state = np.where(combined(h, around, k, th, pos, by_document), WHOLE, OPEN).astype(np.int8)
+        rest = np.flatnonzero(state == OPEN)
+        rest = rest[np.argsort(h[rest], kind="stable")]
+        new = _runs(h[rest])
+        counts = np.diff(np.append(new, len(rest)))
+        rest = rest[np.repeat(counts >= MANY_HERE, counts)]
+        rest = rest[np.lexsort((around[rest], h[rest]))]
+        new = _runs(h[rest])
+        last = np.append(new[1:], len(rest)) - 1
+        unlike = around[rest[new]] != around[rest[last]]
+        state[rest[np.repeat(unlike, last - new + 1)]] = MANY
+        seen = np.concatenate((rest[new[unlike]], rest[last[unlike]]))
+        state, take = np.concatenate((state, np.full(len(seen), WITNESS, np.int8))), np.concatenate((np.arange(len(h)), seen))
+        h, around, k, th, pos = h[take], around[take], k[take], th[take], pos[take]
+        return blocks(np.where((state == WHOLE) | (state == MANY), doc_key(k, th), h), (h, around, k, th, pos, state), buckets)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -84,55 +107,60 @@ def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
             yield flush(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, around, k, th, pos, done = gathered(batches, RECORD)
-        done = done > 0
-        rest = np.flatnonzero(~done)
-        order = rest[np.argsort(h[rest], kind="stable")]
-        ordered = h[order]
-        same = ordered[1:] == ordered[:-1]
-        member = np.zeros(len(order), bool)
-        member[1:] |= same
-        member[:-1] |= same
-        some = order[member]
-        whole = np.zeros(len(h), bool)
-        whole[some] = combined(h[some], around[some], k[some], th[some], pos[some], by_document)
-        left = some[~whole[some]]  # still ordered by anchor
-        part = np.zeros(len(h), bool)
-        if len(left):
-            new = np.flatnonzero(np.concatenate(([True], h[left][1:] != h[left][:-1])))
-            unlike = np.minimum.reduceat(around[left], new) != np.maximum.reduceat(around[left], new)
-            if by_document:
-                unlike &= np.minimum.reduceat(k[left], new) != np.maximum.reduceat(k[left], new)
-            part[left] = np.repeat(unlike, np.diff(np.append(new, len(left))))
-        out = np.flatnonzero(done | whole | part)
-        if len(out):
-            yield blocks(doc_key(k[out], th[out]), (k[out], th[out], pos[out], (~part[out]).astype(np.int8)), buckets)
+        h, around, k, th, pos, state = gathered(batches, RECORD)
+        rest = np.flatnonzero((state == OPEN) | (state == WITNESS))
+        rest = rest[np.argsort(h[rest], kind="stable")]
+        new = _runs(h[rest])
+        counts = np.diff(np.append(new, len(rest)))
+        some = rest[np.repeat(counts > 1, counts)]
+        out = np.where(state == WITNESS, -1, np.where(state == OPEN, -1, state)).astype(np.int8)
+        if len(some):
+            whole = combined(h[some], around[some], k[some], th[some], pos[some], by_document)
+            out[some[whole]] = WHOLE
+            left = some[~whole]  # still ordered by anchor
+            if len(left):
+                new = _runs(h[left])
+                counts = np.diff(np.append(new, len(left)))
+                unlike = np.minimum.reduceat(around[left], new) != np.maximum.reduceat(around[left], new)
+                if by_document:
+                    unlike &= np.minimum.reduceat(k[left], new) != np.maximum.reduceat(k[left], new)
+                many = unlike & ((counts > MANY_IN_ALL) | np.logical_or.reduceat(state[left] == WITNESS, new))
+                out[left] = np.repeat(np.where(many, MANY, np.where(unlike, OPEN, -1)), counts)
+        out[state == WITNESS] = -1
+        told = np.flatnonzero(out >= 0)
+        if len(told):
+            yield blocks(doc_key(k[told], th[told]), (k[told], th[told], pos[told], out[told]), buckets)
 
     found = documents(docs).select("k", "th", "text").mapInArrow(find, BLOCKS).repartition(buckets, "bucket")
     marks = found.mapInArrow(compare, BLOCKS).repartition(buckets, "bucket")
-    return marks.mapInArrow(by_text, "k bigint, th int, whole binary, part binary")
+    return marks.mapInArrow(by_text, MARKS)
+
+
+MARKS = "k bigint, th int, whole binary, part binary, many binary"
 
 
 def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document of a partition's marks."""
-    k, th, pos, whole = gathered(batches, MARK)
+    k, th, pos, state = gathered(batches, MARK)
+    if not len(k):
+        return
     order = np.lexsort((pos, th, k))
-    k, th, pos, whole = k[order], th[order], pos[order], whole[order] > 0
+    k, th, pos, state = k[order], th[order], pos[order], state[order]
     new = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (th[1:] != th[:-1]))))
     ends = np.append(new[1:], len(k))
     for at in range(0, len(new), 10_000):
         a, b = new[at : at + 10_000], ends[at : at + 10_000]
-        parts = [pa.array([pos[i:j][whole[i:j] == w].tobytes() for i, j in zip(a, b)], pa.binary()) for w in (True, False)]
-        yield pa.RecordBatch.from_arrays([pa.array(k[a]), pa.array(th[a]), *parts], ["k", "th", "whole", "part"])
+        parts = [pa.array([pos[i:j][state[i:j] == w].tobytes() for i, j in zip(a, b)], pa.binary()) for w in (WHOLE, OPEN, MANY)]
+        yield pa.RecordBatch.from_arrays([pa.array(k[a]), pa.array(th[a]), *parts], ["k", "th", "whole", "part", "many"])
 
 
 def repeated(docs: DataFrame, anchors, closer: Callable[[DataFrame], DataFrame], by_document: bool) -> DataFrame:
     """doc_id, text, whole, part of each row of docs: packed positions of anchors with repeated surroundings, and packed
-    starts of repeated windows; null where there are none. closer(k, th, text, part) gives blocks of MARK records."""
+    starts of repeated windows; null where there are none. closer(k, th, text, part, many) gives blocks of MARK records."""
     marks = cut(anchored(docs, anchors, by_document))
     texts = documents(docs)
-    doubt = texts.select("k", "th", "text").join(marks.filter(F.length("part") > 0).select("k", "th", "part"), ["k", "th"])
-    starts = closer(doubt).repartition(partitions(docs.sparkSession), "bucket").mapInArrow(by_text, "k bigint, th int, whole binary, part binary")
+    doubt = texts.select("k", "th", "text").join(marks.filter((F.length("part") > 0) | (F.length("many") > 0)).select("k", "th", "part", "many"), ["k", "th"])
+    starts = closer(doubt).repartition(partitions(docs.sparkSession), "bucket").mapInArrow(by_text, MARKS)
     starts = cut(starts.select("k", "th", F.col("whole").alias("part")))
     joined = texts.join(marks.select("k", "th", "whole"), ["k", "th"], "left").join(starts, ["k", "th"], "left")
     return joined.select("doc_id", "text", "whole", "part")
