@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import WORD, cut, read
+from sigframe.llm.common import NULL_ID, WORD, WS, cut, read
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -32,6 +32,10 @@ def _seeded(seed: str, what: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:{what}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
 
+#: Whether a block is one of its shard's extra ones.
+_CHOSEN = "(({0} + 1 + s) * extra) div blocks > (({0} + s) * extra) div blocks"
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """src, source_size, target for each source of sizes(src, size): water-filling in closed form."""
     by = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
@@ -49,12 +53,13 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     return ranked.select("src", "source_size", F.least(F.col("cap"), F.col("w") * F.coalesce("_level", F.lit(0.0))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
-    """doc_id, src, size, source_size, target, shard, quota (blocks of its shard), taken for each row of docs."""
+def planned(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED, keep: Sequence[str] = ()) -> DataFrame:
+    """Each row's place in the mix: doc_id, src, size, source_size, target; its shard with w words in `blocks` blocks
+    and a quota of them: whole passes and `extra` blocks, chosen from s on; its words [c0, c1) in the shard's order."""
     if block < 1 or shard_words < block or most < 1 or not weights or min(weights) <= 0:
         raise ValueError("block, shard_words, most and weights must be positive, and a shard no less than a block")
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select("doc_id", F.col("source").alias("src"), size.alias("size")))
+    sized = cut(docs.select("doc_id", F.col("source").alias("src"), size.alias("size"), *keep))
     goal = targets(sized, weights, most)
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / float(shard_words)))
     placed = sized.join(goal, sized["src"].eqNullSafe(goal["src"])).drop(goal["src"])
@@ -71,13 +76,40 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, blo
     # j+s taken around the shard: a seeded, evenly spread choice of exactly `extra` blocks.
     placed = placed.withColumn("s", F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:start:"), F.coalesce("src", F.lit("null")), F.lit(":"), F.col("shard").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("blocks"))
 
+    return placed
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """doc_id, src, size, source_size, target, shard, quota (blocks of its shard), taken for each row of docs."""
+    placed = planned(docs, **settings)
     placed = placed.withColumn("b0", F.expr("((c0 + 1) * blocks - 1) div w")).withColumn("b1", F.expr("(c1 * blocks - 1) div w"))
-    chosen = "filter(sequence(b0, b1), j -> ((j + 1 + s) * extra) div blocks > ((j + s) * extra) div blocks)"
+    chosen = f"filter(sequence(b0, b1), j -> {_CHOSEN.format('j')})"
     part = f"aggregate({chosen}, 0L, (a, j) -> a + least(c1, ((j + 1) * w) div blocks) - greatest(c0, (j * w) div blocks))"
     taken = F.when((F.col("size") > 0) & (F.col("w") > 0), F.col("passes") * F.col("size") + F.when(F.col("extra") > 0, F.expr(part)).otherwise(F.lit(0))).otherwise(F.lit(0)).cast("long")
     return placed.select("doc_id", "src", "size", "source_size", "target", "shard", "quota", taken.alias("taken"))
 
 
+def sampled(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself, with the columns of docs: each document as often as it is taken whole and, where some of its
+    blocks are taken once more, a row with the words in these (n_chars, where there is such a column, to match)."""
+    key = {"_sf_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_sf_th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")))}
+    again = Window.partitionBy("_sf_k", "_sf_th").orderBy("_sf_k")  # rows that agree in all of these
+    mine = docs.withColumns(key).withColumn("_sf_n", F.row_number().over(again))
+    plan = planned(docs.withColumns(key), keep=("_sf_k", "_sf_th"), **settings).filter("size > 0 and quota > 0")
+    plan = plan.withColumn("_sf_n", F.row_number().over(again)).select("_sf_k", "_sf_th", "_sf_n", F.struct("passes", "extra", "blocks", "s", "w", "c0").alias("_sf_plan"))
+    joined = mine.join(plan, ["_sf_k", "_sf_th", "_sf_n"]).withColumns({f"_sf_{c}": F.col(f"_sf_plan.{c}") for c in ("passes", "extra", "blocks", "s", "w", "c0")})
+    words = f"split(regexp_replace(text, '^{WS}', ''), '(?<=[\\\\x20\\\\x09-\\\\x0D])(?=[^\\\\x20\\\\x09-\\\\x0D])')".replace(WS, WS.replace("\\", "\\\\"))
+    block = "(((_sf_c0 + i + 1) * _sf_blocks - 1) div _sf_w)"
+    chosen = _CHOSEN.format(block).replace(" s)", " _sf_s)").replace("extra", "_sf_extra").replace("div blocks", "div _sf_blocks")
+    part = F.when(F.col("_sf_extra") > 0, F.expr(f"array_join(filter({words}, (x, i) -> {chosen}), '')"))
+    joined = joined.withColumn("_sf_part", part)
+    copies = F.concat(F.expr("array_repeat(cast(null as string), cast(_sf_passes as int))"), F.when(F.length("_sf_part") > 0, F.array("_sf_part")).otherwise(F.expr("cast(array() as array<string>)")))
+    out = joined.withColumn("_sf_text", F.explode(copies))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_sf_text").isNull(), F.col("n_chars")).otherwise(F.char_length("_sf_text").cast(dict(docs.dtypes)["n_chars"])))
+    return out.withColumn("text", F.coalesce("_sf_text", "text")).select(*docs.columns)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
