@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id where ids are compared; it sorts before all others.
 NULL_ID = -(1 << 63)
 #: Bytes of text that a Python worker turns into 64-bit arrays at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import cut
+from sigframe.llm.common import cut, partitions
+
+MERGED = 16
 
 
 class Union:
@@ -40,17 +42,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(a):
         return a, b
     nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
-    union = Union(len(nodes))
-    pairs = np.unique(np.stack((index[: len(a)], index[len(a) :]), 1), axis=0)
-    for x, y in pairs.tolist():
-        union.join(x, y)
-    root = np.array([union.find(i) for i in range(len(nodes))])
+    x, y = index[: len(a)], index[len(a) :]
+    root = np.arange(len(nodes))
+    while True:  # hook larger roots to smaller ones, shorten all ways, keep the edges that still join two roots
+        x, y = root[x], root[y]
+        apart = x != y
+        if not apart.any():
+            break
+        x, y = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(root, y, x)
+        while (root != root[root]).any():
+            root = root[root]
     own = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[root[own]], nodes[own]
 
 
 def thinned(edges: DataFrame) -> DataFrame:
-    """edges(a, b) with each partition's edges replaced by a forest, in steps of bounded size."""
+    """edges(a, b) with each partition's edges replaced by a forest, in steps of bounded size; then again for MERGED
+    partitions together, as a large component has a forest in each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = b = np.empty(0, np.int64)
@@ -64,7 +73,8 @@ def thinned(edges: DataFrame) -> DataFrame:
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return edges.filter("a != b").select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    thin = edges.filter("a != b").select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return thin.coalesce(max(1, partitions(edges.sparkSession) // MERGED)).mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ ANCHOR = WINDOW - PERIOD + 1
 BACK = PERIOD - 1
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 #: Windows that a task combines at a time.
-BATCH = 1_500_000
+BATCH = 1_000_000
 RECORD = ("<u8", "<u8", "<i8", "<i4", "<i4", "<i1")
 
 

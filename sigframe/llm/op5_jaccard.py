@@ -35,7 +35,7 @@ LEAF = 16
 #: Tokens of the documents that one task joins, at about half of them for each of two parts of a larger cluster.
 CHUNK = 1_500_000
 #: Hashes that a task combines at a time.
-BATCH = 2_000_000
+BATCH = 1_000_000
 NEAR = ("<u4", "<u2", "<i8")
 EDGE = ("<i8", "<i8")
 

@@ -32,7 +32,7 @@ AROUND = BACK + WINDOW
 #: Bytes after an anchor that multikey quicksort looks at.
 SHALLOW = 16
 #: Strings that a task combines at a time.
-BATCH = 1_500_000
+BATCH = 1_000_000
 NEAR = ("<u8", f"V{AROUND}", "<i8", "<i4", "<i4", "<i1", "<i1")  # anchor, bytes around, k, th, position, bytes left, right
 FAR = ("<u8", "<u8", "<i8", "<i4", "<i4", "<i1")  # two hashes, k, th, start, done
 

@@ -32,7 +32,7 @@ OPEN, WHOLE, MANY, WITNESS = 0, 1, 2, 3
 #: Unlike surroundings of one anchor that count as many: in a task's batch, and in all.
 MANY_HERE, MANY_IN_ALL = 16, 256
 #: Anchors that a task combines at a time.
-BATCH = 1_500_000
+BATCH = 1_000_000
 
 Anchors = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # text's number, position, hash, surroundings
 
