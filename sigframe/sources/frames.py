@@ -25,7 +25,7 @@ class TornFrame(ValueError):
 
 
 def serialize_ndarray(array: np.ndarray, file: BinaryIO) -> None:
-    array = np.ascontiguousarray(array)
+    array = np.asarray(array)
     name = array.dtype.str.encode("ascii")
     file.write(b"ARRAY" + np.int64(len(name)).tobytes() + name + np.int64(array.ndim).tobytes() + np.array(array.shape, np.int64).tobytes())
     file.write(array.tobytes())
@@ -115,7 +115,8 @@ class FramesReader(DataSourceReader):
                     if a.ndim == 1 and not np.iscomplexobj(a):
                         columns.append(pa.array(a[:n].astype(a.dtype.newbyteorder("="))))
                     else:
-                        columns.append(pa.array([_value(x) for x in a[:n]]))
+                        kind = pa.struct([("re", pa.float64()), ("im", pa.float64())]) if a.ndim == 1 else None
+                        columns.append(pa.array([_value(x) for x in a[:n]], kind))
                 yield pa.RecordBatch.from_arrays(columns, [x.name for x in self.schema.fields])
                 pos += n
 
