@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator, Sequence
 
@@ -36,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """After a cut: lets Spark remove the shuffle files of the plan that was cut, which it does when nothing on the
+    driver refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row of docs as one column, so that no name clashes, beside its key: row, k, th (as in keyed())."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text_of()).alias("th"))
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null taken as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import BLOCKS, blocks, cut, gathered, keyed, mix, partitions, texts_in
+from sigframe.llm.common import BLOCKS, blocks, cut, gathered, keyed, mix, partitions, texts_in, tidy
 
 RECORD = ("<u8", "<u8", "<i8", "<i4", "<i4", "<i1")  # anchor, surroundings, k, th, position, state
 MARK = ("<i8", "<i4", "<i4", "<i1")  # k, th, position, state
@@ -85,7 +85,7 @@ def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
         rest = rest[np.repeat(counts >= MANY_HERE, counts)]
         rest = rest[np.lexsort((around[rest], h[rest]))]
         new = _runs(h[rest])
-        last = np.append(new[1:], len(rest)) - 1
+        last = np.append(new[1:], len(rest))[: len(new)] - 1
         unlike = around[rest[new]] != around[rest[last]]
         state[rest[np.repeat(unlike, last - new + 1)]] = MANY
         seen = np.concatenate((rest[new[unlike]], rest[last[unlike]]))
@@ -158,10 +158,12 @@ def repeated(docs: DataFrame, anchors, closer: Callable[[DataFrame], DataFrame],
     """doc_id, text, whole, part of each row of docs: packed positions of anchors with repeated surroundings, and packed
     starts of repeated windows; null where there are none. closer(k, th, text, part, many) gives blocks of MARK records."""
     marks = cut(anchored(docs, anchors, by_document))
+    tidy(docs.sparkSession)
     texts = documents(docs)
     doubt = texts.select("k", "th", "text").join(marks.filter((F.length("part") > 0) | (F.length("many") > 0)).select("k", "th", "part", "many"), ["k", "th"])
     starts = closer(doubt).repartition(partitions(docs.sparkSession), "bucket").mapInArrow(by_text, MARKS)
     starts = cut(starts.select("k", "th", F.col("whole").alias("part")))
+    tidy(docs.sparkSession)
     joined = texts.join(marks.select("k", "th", "whole"), ["k", "th"], "left").join(starts, ["k", "th"], "left")
     return joined.select("doc_id", "text", "whole", "part")
 
