@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import cut, keyed, read
+from sigframe.llm.common import cut, keyed, read, whole_rows
 
 #: Kinds in their order, patterns, and what a text must hold for the pattern to be tried.
 KINDS = ("email", "ip", "card", "phone")
@@ -120,7 +120,6 @@ def report(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced by [EMAIL], [IP], [CARD], [PHONE], disclosing terms by [TERM] or nothing, and
     n_chars, where there is such a column, set to the new length. Overlapping spans become one, named by the first."""
-    extra = "_sf_k", "_sf_th", "_sf_spans"
     names = "array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]')"
     every = (
         f"sort_array(concat(transform(base, x -> struct(x.s as s, x.e as e, {names}[x.o] as n)), "
@@ -131,19 +130,17 @@ def sanitise(docs: DataFrame) -> DataFrame:
         "then concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, x.e) as e, element_at(a, -1).n as n))) else concat(a, array(x)) end)"
     )
     found = spans(docs).filter("size(base) > 0").dropDuplicates(["k", "th"]).withColumn("_every", F.expr(every))
-    found = found.select(F.col("k").alias(extra[0]), F.col("th").alias(extra[1]), F.expr(merged).alias(extra[2]))
-    mine = docs.withColumns({extra[0] + "2": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), extra[1] + "2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    joined = mine.join(found, (mine[extra[0] + "2"] == found[extra[0]]) & (mine[extra[1] + "2"] == found[extra[1]]), "left")
-    cut_text = F.expr(
-        "concat(array_join(transform(_sf_spans, (x, i) -> concat(substring(text, case when i = 0 then 1 else _sf_spans[i - 1].e + 1 end, x.s - case when i = 0 then 0 else _sf_spans[i - 1].e end), x.n)), ''), "
-        "substring(text, element_at(_sf_spans, -1).e + 1))"
+    found = found.select("k", "th", F.expr(merged).alias("spans"))
+    joined = whole_rows(docs).join(found, ["k", "th"], "left")
+    text = F.expr(
+        "concat(array_join(transform(spans, (x, i) -> concat(substring(row.text, case when i = 0 then 1 else spans[i - 1].e + 1 end, x.s - case when i = 0 then 0 else spans[i - 1].e end), x.n)), ''), "
+        "substring(row.text, element_at(spans, -1).e + 1))"
     )
-    text = F.when(F.col(extra[2]).isNull(), F.col("text")).otherwise(cut_text)
-    joined = joined.withColumn("text", text)
+    joined = joined.select("row", "spans", F.when(F.col("spans").isNotNull(), text).alias("clean"))
+    row = F.col("row").withField("text", F.coalesce("clean", F.col("row.text")))
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        joined = joined.withColumn("n_chars", F.when(F.col(extra[2]).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
-    return joined.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("clean").isNull(), F.col("row.n_chars")).otherwise(F.char_length("clean").cast(dict(docs.dtypes)["n_chars"])))
+    return joined.select(row.alias("row")).select("row.*")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

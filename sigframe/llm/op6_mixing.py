@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import NULL_ID, WORD, WS, cut, read
+from sigframe.llm.common import WORD, cut, read, whole_rows
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -92,22 +92,20 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 def sampled(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of docs: each document as often as it is taken whole and, where some of its
     blocks are taken once more, a row with the words in these (n_chars, where there is such a column, to match)."""
-    key = {"_sf_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_sf_th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")))}
-    again = Window.partitionBy("_sf_k", "_sf_th").orderBy("_sf_k")  # rows that agree in all of these
-    mine = docs.withColumns(key).withColumn("_sf_n", F.row_number().over(again))
-    plan = planned(docs.withColumns(key), keep=("_sf_k", "_sf_th"), **settings).filter("size > 0 and quota > 0")
-    plan = plan.withColumn("_sf_n", F.row_number().over(again)).select("_sf_k", "_sf_th", "_sf_n", F.struct("passes", "extra", "blocks", "s", "w", "c0").alias("_sf_plan"))
-    joined = mine.join(plan, ["_sf_k", "_sf_th", "_sf_n"]).withColumns({f"_sf_{c}": F.col(f"_sf_plan.{c}") for c in ("passes", "extra", "blocks", "s", "w", "c0")})
-    words = f"split(regexp_replace(text, '^{WS}', ''), '(?<=[\\\\x20\\\\x09-\\\\x0D])(?=[^\\\\x20\\\\x09-\\\\x0D])')".replace(WS, WS.replace("\\", "\\\\"))
-    block = "(((_sf_c0 + i + 1) * _sf_blocks - 1) div _sf_w)"
-    chosen = _CHOSEN.format(block).replace(" s)", " _sf_s)").replace("extra", "_sf_extra").replace("div blocks", "div _sf_blocks")
-    part = F.when(F.col("_sf_extra") > 0, F.expr(f"array_join(filter({words}, (x, i) -> {chosen}), '')"))
-    joined = joined.withColumn("_sf_part", part)
-    copies = F.concat(F.expr("array_repeat(cast(null as string), cast(_sf_passes as int))"), F.when(F.length("_sf_part") > 0, F.array("_sf_part")).otherwise(F.expr("cast(array() as array<string>)")))
-    out = joined.withColumn("_sf_text", F.explode(copies))
+    rows = whole_rows(docs).select("row", "k", F.xxhash64("th", "row.source").alias("th"), F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), F.col("row.source").alias("source"))
+    again = Window.partitionBy("k", "th").orderBy("k")  # rows that agree in all of these
+    plan = planned(rows, keep=("k", "th"), **settings).filter("size > 0 and quota > 0")
+    plan = plan.withColumn("n", F.row_number().over(again)).select("k", "th", "n", "passes", "extra", "blocks", "s", "w", "c0")
+    joined = rows.select("row", "k", "th", "text").withColumn("n", F.row_number().over(again)).join(plan, ["k", "th", "n"])
+    words = r"split(regexp_replace(text, '^[\\x20\\x09-\\x0D]+', ''), '(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])')"
+    chosen = _CHOSEN.format("(((c0 + i + 1) * blocks - 1) div w)")
+    part = F.when(F.col("extra") > 0, F.expr(f"array_join(filter({words}, (x, i) -> {chosen}), '')"))
+    copies = F.concat(F.expr("array_repeat(cast(null as string), cast(passes as int))"), F.when(F.length(part) > 0, F.array(part)).otherwise(F.expr("cast(array() as array<string>)")))
+    out = joined.select("row", copies.alias("copies")).select("row", F.explode("copies").alias("part"))
+    row = F.col("row").withField("text", F.coalesce("part", F.col("row.text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_sf_text").isNull(), F.col("n_chars")).otherwise(F.char_length("_sf_text").cast(dict(docs.dtypes)["n_chars"])))
-    return out.withColumn("text", F.coalesce("_sf_text", "text")).select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("part").isNull(), F.col("row.n_chars")).otherwise(F.char_length("part").cast(dict(docs.dtypes)["n_chars"])))
+    return out.select(row.alias("row")).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
