@@ -129,3 +129,17 @@ def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_windows": op10_windows}
+ORACLES = {
+    "op10_windows": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 48)) i from d where len(w) >= 50),
+h as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) h from p),
+f as (select h, min(doc_id) first from h group by h),
+g as (select distinct doc_id, unnest(range(i, i + 50)) i from h join f using (h) where doc_id > first),
+r as (select doc_id, list(i) gone from g group by doc_id),
+x as (select d.doc_id, w, coalesce(gone, []) gone from d left join r on d.doc_id = r.doc_id),
+k as (select x.doc_id, len(w)::bigint n_words, len(gone)::bigint n_removed, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: not list_contains(gone, z[2])), lambda z: z[1]), ' ') kept from x)
+select doc_id, n_words, n_removed, sha256(kept) as kept_sha256 from k
+"""
+}
+

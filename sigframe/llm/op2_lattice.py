@@ -187,3 +187,14 @@ def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_lattice": op2_lattice}
+ORACLES = {
+    "op2_lattice": r"""
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e from embeddings),
+g as (select vec_id, label, e, sqrt(list_dot_product(e, e)) n from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+l as (select a.vec_id x, b.vec_id y from g a join g b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r(x, y) as (select vec_id, vec_id from v union select r.x, l.y from r join l on r.y = l.x),
+c as (select x, min(y) component_id from r group by x), k as (select x, count(*) n from l group by x)
+select c.x as vec_id, coalesce(n, 0)::bigint as n_links, component_id, component_id = c.x as kept from c left join k on c.x = k.x
+"""
+}
+

@@ -324,3 +324,20 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_suffixes": op8_suffixes}
+ORACLES = {
+    "op8_suffixes": r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) b from documents),
+p as (select doc_id, b, unnest(range(0, len(b) // 2 - 99)) i from d where len(b) >= 200),
+h as (select doc_id, i, md5(substr(b, 2 * i + 1, 200)) h from p),
+k as (select doc_id, i, row_number() over (partition by h order by doc_id, i) n from h),
+g as (select doc_id, i from k where n > 1),
+v as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end first from g),
+w as (select doc_id, i, sum(first) over (partition by doc_id order by i rows unbounded preceding) run from v),
+m as (select doc_id, run, min(i) a, max(i) + 100 z from w group by 1, 2),
+j as (select doc_id, count(*) n_spans, sum(z - a)::bigint n_removed, list({'a': a, 'z': z} order by a) spans from m group by 1),
+x as (select d.doc_id, b, coalesce(n_spans, 0)::bigint n_spans, coalesce(n_removed, 0)::bigint n_removed, coalesce(spans, []) spans from d left join j on d.doc_id = j.doc_id)
+select doc_id, (len(b) // 2)::bigint as n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(0, len(spans) + 1),
+  lambda i: substr(b, case when i = 0 then 1 else 2 * spans[i].z + 1 end, case when i = len(spans) then len(b) else 2 * spans[i + 1].a end - case when i = 0 then 0 else 2 * spans[i].z end)), ''))) as kept_sha256 from x
+"""
+}
+

@@ -84,7 +84,47 @@ def judge(docs: DataFrame, least: int = LEAST, most_chars: float = MOST_CHARS, m
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "documents")).drop("lang", "chars", "common")
+    return judge(read(spark, sf_dir, "documents")).drop("lang", "chars", "common", "js_chars", "js_words")
 
 
 QUERIES = {"op9_quality": op9_quality}
+
+
+def _sql() -> str:
+    """The same query in DuckDB's SQL."""
+    quoted = lambda words: "[" + ", ".join("'" + w + "'" for w in words) + "]"
+    lists = " ".join(f"when '{k}' then {quoted(v)}" for k, v in COMMON.items())
+    found = lambda p: "len(regexp_extract_all(t, '" + p.replace("'", "''") + "'))"
+    classes = ", ".join(f"{found(p)} as a{i}" for i, p in enumerate(CLASSES.values()))
+    n, m = len(CLASSES), len(ANY)
+    chars = [*(f"a{i}" for i in range(n)), "length(t) - wc", "wc - (" + " + ".join(f"a{i}" for i in range(n)) + ")"]
+    common = [*(f"len(list_filter(lw, lambda x: x = l[{i + 1}]))" for i in range(m)), f"len(w) - len(list_filter(lw, lambda x: list_contains(l, x)))"]
+    columns = ", ".join(f"({x})::double as c{i}" for i, x in enumerate(chars)) + ", " + ", ".join(f"({x})::double as w{i}" for i, x in enumerate(common))
+
+    def js(letter: str, k: int) -> str:
+        p = [f"(f.{letter}{i} / (" + " + ".join(f"f.{letter}{j}" for j in range(k)) + "))" for i in range(k)]
+        q = [f"(r.{letter}{i} / (" + " + ".join(f"r.{letter}{j}" for j in range(k)) + "))" for i in range(k)]
+        term = lambda a, b: f"case when {a} > 0 then {a} * log2(2 * {a} / ({a} + {b})) else 0 end"
+        return "sqrt(greatest(0, " + " + ".join(f"0.5 * ({term(a, b)} + {term(b, a)})" for a, b in zip(p, q)) + "))"
+
+    sums = ", ".join(f"sum({c}) as {c}" for c in [*(f"c{i}" for i in range(CHARS)), *(f"w{i}" for i in range(m + 1))])
+    total = " + ".join(f"r.w{i}" for i in range(m + 1))
+    return f"""
+with d as (select doc_id, lang, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w,
+  case lang {lists} else {quoted(ANY)} end l, row_number() over () id from documents),
+e as (select *, list_transform(w, lambda x: lower(x)) lw, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint wc, {classes},
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) lines from d),
+p as (select id, w, unnest(range(1, len(w) - {WINDOW - 2})) i from d where len(w) >= {WINDOW}),
+h as (select id, i, count(*) over (partition by id, array_to_string(w[i:i + {WINDOW - 1}], ' ')) n from p),
+g as (select id, count(*) n from (select distinct id, unnest(range(i, i + {WINDOW})) i from h where n > 1) group by id),
+f as (select e.id, doc_id, lang, len(w)::bigint n_words, wc word_chars, a{n - 1}::bigint n_symbols, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(g.n, 0)::bigint n_repeat_words, {columns}
+  from e left join g on e.id = g.id),
+r as (select lang, {sums} from f group by lang),
+j as (select f.*, n_words < {MIN_WORDS} or 100 * n_repeat_words > 30 * n_words base_failed, n_words >= {LEAST} and {total} >= {LEAST_REFERENCE} judged,
+  case when n_words >= {LEAST} then {js('c', CHARS)} end js_chars, case when n_words >= {LEAST} then {js('w', m + 1)} end js_words from f join r on f.lang is not distinct from r.lang)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not coalesce(judged and (js_chars > {MOST_CHARS} or js_words > {MOST_WORDS} or js_chars + js_words > {MOST_BOTH}), false) as kept from j
+"""
+
+
+ORACLES = {"op9_quality": _sql()}
