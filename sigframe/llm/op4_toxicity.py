@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import read, text_of
+from sigframe.llm.common import read, small_batches, text_of
 
 #: Characters that stand for letters.
 LOOKALIKES = {
@@ -37,10 +37,12 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum",
 MOST_LABELLED = 8_000
 MOST_ENTRIES = 5_000
 SHORTEST, LONGEST = 4, 9
+#: Toxic texts that an entry must stand in: so many, and such a share of all.
 LEAST_TEXTS = 6
+LEAST_SHARE = 0.02
 #: Least weight, by its lower bound at so many standard errors.
 LEAST_WEIGHT = 2.0
-SURE = 1.64
+SURE = 2.0
 THRESHOLD = 0.3
 HELD_OUT = 2
 
@@ -121,6 +123,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexicon:
     """A lexicon from at most `most` labelled rows; what comes to the driver is at most MOST_ENTRIES entries and a
     number for each of these rows."""
+    small_batches(docs.sparkSession)
     rows = _labelled(docs, labels, most)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexi
     toxic = {r["term"]: r["toxic"] for r in found[1:]}
     weight = {}
     for r in found[1:]:
+        if r["toxic"] < LEAST_SHARE * n_toxic:
+            continue
         w = math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1))
         if w - SURE * math.sqrt(1 / (r["toxic"] + 0.5) + 1 / (r["clean"] + 0.5)) >= LEAST_WEIGHT:
             weight[r["term"]] = w
@@ -180,6 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Lexi
 def scored(docs: DataFrame, model: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, n_hits for each row."""
     kind = dict(docs.dtypes)["doc_id"]
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.automaton()
@@ -205,6 +211,7 @@ def keep_clean(docs: DataFrame, model: Lexicon, threshold: float = THRESHOLD) ->
     from pyspark.sql.pandas.functions import pandas_udf
     import pandas as pd
 
+    small_batches(docs.sparkSession)
     clean.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.filter(pandas_udf(clean, BooleanType())(text_of()))
 
