@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from sigframe.llm.common import cut, keyed, read, whole_rows
 
-#: Kinds in their order, patterns, and what a text must hold for the pattern to be tried.
+#: Kinds in their order, patterns, and what a text must hold for the pattern to be tried. Possessive
+#: where nothing can be given back: Java would else recurse for each repetition of a group.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++",
     "ip": r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
+    "card": r"[0-9]([\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]([\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
