@@ -50,6 +50,17 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text_of()).alias("th"))
 
 
+#: Rows of text that go to a Python worker at a time, unless the session says otherwise.
+ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Spark's default of 10000 rows in a batch is for numbers: as many texts would fill a worker's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ROWS))
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null taken as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -60,6 +71,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     Rows that agree in doc_id and text are one document to the operators; each still gets its own row in a result.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", text_of().alias("text")).select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("th"), "text"
     )
@@ -80,12 +92,12 @@ def pack(columns: Sequence[np.ndarray]) -> bytes:
     return b"".join(_planes(c) for c in columns)
 
 
-def unpack(blobs: Sequence[bytes], kinds: Sequence[str]) -> list[np.ndarray]:
-    """The columns of all blobs, one after the other."""
+def unpack(blobs: Sequence, kinds: Sequence[str], skip: int = 0) -> list[np.ndarray]:
+    """The columns of all blobs (bytes or buffers, without their first `skip` bytes), one after the other."""
     width = sum(np.dtype(k).itemsize for k in kinds)
     parts: list[list[np.ndarray]] = [[] for _ in kinds]
     for blob in blobs:
-        n, at = len(blob) // width, 0
+        n, at = (memoryview(blob).nbytes - skip) // width, skip
         for part, kind in zip(parts, map(np.dtype, kinds)):
             if kind.kind != "i" or kind.itemsize == 1:
                 part.append(np.frombuffer(blob, kind, n, at))
@@ -112,7 +124,7 @@ def blocks(key: np.ndarray, columns: Sequence[np.ndarray], buckets: int) -> pa.R
 def gathered(batches: Iterator[pa.RecordBatch], kinds: Sequence[str]) -> list[np.ndarray]:
     """All records of a partition. Its size is the input over the number of partitions, as records were
     combined before the shuffle."""
-    return unpack([x.as_py() for b in batches for x in b.column("block")], kinds)
+    return unpack([x.as_buffer() for b in batches for x in b.column("block")], kinds)
 
 
 # ---- hashed words ------------------------------------------------------------------------------
@@ -199,6 +211,7 @@ def texts_in(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iter
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
             yield batch.slice(at, to - at), whole[ends[at] : ends[to]], (ends[at : to + 1] - ends[at])
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -58,8 +58,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def thinned(edges: DataFrame) -> DataFrame:
-    """edges(a, b) with each partition's edges replaced by a forest, in steps of bounded size; then again for MERGED
-    partitions together, as a large component has a forest in each of them."""
+    """edges(a, b) with the edges of each MERGED partitions replaced by a forest, in steps of bounded size. (A large
+    component has a forest in each.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = b = np.empty(0, np.int64)
@@ -73,12 +73,13 @@ def thinned(edges: DataFrame) -> DataFrame:
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    thin = edges.filter("a != b").select("a", "b").mapInArrow(run, "a bigint, b bigint")
-    return thin.coalesce(max(1, partitions(edges.sparkSession) // MERGED)).mapInArrow(run, "a bigint, b bigint")
+    few = edges.coalesce(max(1, partitions(edges.sparkSession) // MERGED))
+    return few.filter("a != b").select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component for each node of edges(a, b), both bigint; component is the least id that it reaches.
+    """id, component for each node of edges(a, b), both bigint; component is the least id that it reaches. edges should
+    be cut or read from a table, as few tasks read them.
 
     Labels pass along edges and jump to their label's label, so that the rounds are about the logarithm of the longest
     path. Hubs are combined before the shuffle that takes least labels; joins are left to Spark, which splits skewed

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import cut, partitions, read
+from sigframe.llm.common import cut, partitions, read, small_batches
 
 #: Elements that begin and end a block of text.
 BLOCK = frozenset(
@@ -178,6 +178,7 @@ def _path_alike(a: str, b: str | None) -> int:
 
 
 def _located(pages: DataFrame) -> DataFrame:
+    small_batches(pages.sparkSession)
     url = F.col("url").cast("string")
     host = F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)

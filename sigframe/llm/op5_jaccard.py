@@ -10,7 +10,9 @@ would be one task. So trees are built for clusters of documents that could link.
 threshold t allows at most n(1-t)/t unlike tokens; with more groups than that, some group is the same in both. Each
 document therefore emits a hash of each group's tokens (for the grid of group numbers of its size and of the size
 below), and clusters are the components of documents that emit a hash in common. No link is lost, as groups that hold
-nothing are made up for by further groups, or emitted themselves where they are more than these.
+nothing are made up for by further groups, or emitted themselves where they are more than these. There are further
+groups still, a quarter more, so that documents that link have not one but more than these in common: those that share
+fewer hashes with all others together (a passage that many documents hold gives a few) drop out before clusters form.
 
 Texts with fewer than `words` words have their whole sequence as the only token; without words or text the set is
 empty and links with nothing. Documents with equal sets are one node. A null doc_id is the smallest and is told as
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import _LOWER, BLOCKS, NULL_ID, blocks, byte_sums, cut, keyed, mix, partitions, read, running, span_hash, texts_in, unpack, words_of
+from sigframe.llm.common import _LOWER, BLOCKS, NULL_ID, blocks, byte_sums, cut, keyed, mix, partitions, read, running, span_hash, texts_in, tidy, unpack, whole_rows, words_of
 from sigframe.llm.components import Union, components, forest
 
 #: Coordinates of a point, entries of a leaf and of an inner node.
@@ -36,8 +38,9 @@ LEAF = 16
 CHUNK = 1_500_000
 #: Hashes that a task combines at a time.
 BATCH = 1_000_000
+#: Partitions of hashes to one of the input: they are about twice as many bytes.
+FINER = 3
 NEAR = ("<u4", "<u2", "<i8")
-EDGE = ("<i8", "<i8")
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -67,32 +70,36 @@ class Grid:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.lows = [1]
-        self.groups: dict[int, tuple[int, int]] = {}
+        self.groups: dict[int, tuple[int, int, int]] = {}
 
-    def band(self, n: int) -> int:
+    def _upto(self, n: int) -> None:
         while self.lows[-1] <= n:
             self.lows.append(self.lows[-1] * self.den // self.num + 1)
+
+    def band(self, n: int) -> int:
+        self._upto(n)
         return int(np.searchsorted(self.lows, n, "right")) - 1
 
-    def of(self, band: int) -> tuple[int, int]:
-        """The groups of a band, and how many of them may be empty; none where no unlike sets can link."""
+    def of(self, band: int) -> tuple[int, int, int]:
+        """The groups of a band, how many of them may be empty, and how many may be common; none where no unlike sets
+        can link."""
         if band not in self.groups:
-            self.band(self.lows[band])
             while len(self.lows) < band + 2:
-                self.lows.append(self.lows[-1] * self.den // self.num + 1)
+                self._upto(self.lows[-1])
             unlike = (self.lows[band + 1] - 1) * (self.den - self.num) // self.num
-            empty = (unlike + 1) * np.exp(-self.lows[band] / (unlike + 1))
+            common = int(np.ceil((unlike + 1) / 4))
+            groups = unlike + 1 + common
+            empty = groups * np.exp(-self.lows[band] / groups)
             spare = int(1 + np.ceil(empty + 4 * np.sqrt(empty)))
-            self.groups[band] = (unlike + 1 + spare, spare) if unlike else (0, 0)
+            self.groups[band] = (groups + spare, spare, common) if unlike else (0, 0, 0)
         return self.groups[band]
 
     def hashes(self, tokens: np.ndarray) -> Iterator[np.ndarray]:
+        """48 bits for each group; the last bit is the band's."""
         own = self.band(len(tokens))
         value = mix(tokens + np.uint64(0x2545F4914F6CDD1D))
         for band in (own, own - 1):
-            if band < 0:
-                continue
-            groups, spare = self.of(band)
+            groups, spare, _ = self.of(band) if band >= 0 else (0, 0, 0)
             if not groups:
                 continue
             group = (tokens % np.uint64(groups)).astype(np.int64)
@@ -100,7 +107,8 @@ class Grid:
             np.add.at(total, group, value)
             held = np.bincount(group, minlength=groups) > 0
             keep = np.arange(groups) if groups - held.sum() > spare else np.flatnonzero(held)
-            yield mix(total[keep] + mix(keep.astype(np.uint64) + (np.uint64(band) << np.uint64(40))))
+            h = mix(total[keep] + mix(keep.astype(np.uint64) + (np.uint64(band) << np.uint64(40)))) >> np.uint64(16)
+            yield h & ~np.uint64(1) | np.uint64(band & 1)
 
 
 # ---- R-tree -------------------------------------------------------------------------------------
@@ -220,32 +228,34 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, f"doc_id {kind}, k bigint, th bigint, n_shingles bigint, node bigint")
 
 
-def candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Edges (a, b) whose components hold all nodes that could link."""
-    buckets = partitions(docs.sparkSession)
+def shared_hashes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Rows (node, h) of hashes that two nodes or more emit."""
+    buckets = FINER * partitions(docs.sparkSession)
 
     def kinded(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [bytes((kind,)) + b for b in batch.column("block").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(made, pa.binary())], ["bucket", "block"])
 
-    def stars(h: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The first row of each hash, and edges from its node to the others."""
+    def halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(16)).astype(np.uint32), h.astype(np.uint16)
+
+    def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order by hash, and where its runs begin and how long they are."""
         order = np.argsort(h, kind="stable")
-        new = np.ones(len(h), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-        other = node[order] != node[first]
-        return order[new], node[first][other], node[order][other]
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[order][1:] != h[order][:-1])))
+        return order, new, np.diff(np.append(new, len(h)))
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([x for x, _ in held])
         node = np.repeat(np.array([n for _, n in held], np.int64), [len(x) for x, _ in held])
-        first, a, b = stars(h, node)
-        h, node = h[first], node[first]
-        yield kinded(0, blocks(h, ((h >> np.uint64(32)).astype(np.uint32), (h >> np.uint64(16)).astype(np.uint16), node), buckets))
-        a, b = forest(a, b)
-        if len(a):
-            yield kinded(1, blocks(mix(b.view(np.uint64)), (a, b), buckets))
+        order, new, counts = runs(h)
+        shared = np.repeat(counts > 1, counts)
+        own = order[~shared]
+        yield kinded(0, blocks(mix(h[own]), (*halves(h[own]), node[own]), buckets))
+        if shared.any():  # known to be shared: the hash goes on once, its nodes wherever there is room
+            own, one = order[shared], order[new[counts > 1]]
+            yield kinded(1, blocks(mix(h[one]), halves(h[one]), buckets))
+            yield kinded(2, blocks(mix(node[own].view(np.uint64)), (*halves(h[own]), node[own]), buckets))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, held, n, seen = Grid(num, den), [], 0, set()
@@ -263,21 +273,47 @@ def candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             yield from flush(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: tuple[list, list] = ([], [])
+        kinds: tuple[list, list, list] = ([], [], [])
         for batch in batches:
-            for block in batch.column("block").to_pylist():
-                kinds[block[0]].append(block[1:])
-        a, b = unpack(kinds[1], EDGE)
-        if kinds[0]:
-            top, low, node = unpack(kinds[0], NEAR)
-            _, c, d = stars((top.astype(np.uint64) << np.uint64(16)) | low, node)
-            a, b = np.concatenate((a, c)), np.concatenate((b, d))
-        a, b = forest(a, b)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for block in (x.as_buffer() for x in batch.column("block")):
+                kinds[memoryview(block)[0]].append(block)
+        whole = lambda top, low: top.astype(np.uint64) << np.uint64(16) | low
+        top, low, node = unpack(kinds[0], NEAR, 1)
+        h = whole(top, low)
+        known = np.unique(whole(*unpack(kinds[1], NEAR[:2], 1)))
+        order, new, counts = runs(h)
+        # Nodes are told twice where copies are met in several batches; told alone, such a pair is no sharing.
+        alike = np.minimum.reduceat(node[order], new) == np.maximum.reduceat(node[order], new) if len(new) else np.empty(0, bool)
+        shared = order[np.repeat(~alike | np.isin(h[order[new]], known), counts)]
+        top, low, told = unpack(kinds[2], NEAR, 1)
+        for n, x in ((told, whole(top, low)), (node[shared], h[shared])):
+            for at in range(0, len(n), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(n[at : at + 100_000]), pa.array(x[at : at + 100_000].view(np.int64))], ["node", "h"])
 
     found = keyed(docs).select("text").mapInArrow(find, BLOCKS)
-    return found.repartition(buckets, "bucket").mapInArrow(meet, "a bigint, b bigint")
+    return found.repartition(buckets, "bucket").mapInArrow(meet, "node bigint, h bigint").distinct()
+
+
+def candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) whose components hold all nodes that could link."""
+    grid = Grid(num, den)
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, odd in zip(batch.column("n").to_pylist(), batch.column("odd").to_pylist()):
+                own = grid.band(n)
+                out.append(grid.of(own if own & 1 == odd else own - 1)[2])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "odd", "m")), pa.array(out, pa.int64())], ["node", "odd", "m", "most"])
+
+    shared = cut(shared_hashes(docs, words, num, den).withColumn("odd", F.col("h").bitwiseAND(F.lit(1)).cast("int")))
+    tidy(docs.sparkSession)
+    counted = shared.groupBy("node", "odd").agg(F.count("*").alias("m"))
+    sizes = sets.filter("node is not null").groupBy(F.col("node").alias("own")).agg(F.first("n_shingles").alias("n"))
+    many = counted.join(sizes, counted["node"] == sizes["own"]).select("node", "odd", "m", "n").mapInArrow(allowed, "node bigint, odd int, m bigint, most bigint")
+    live = cut(shared.join(many.filter("m > most").select("node", "odd"), ["node", "odd"]).select("node", "h"))
+    least = live.groupBy(F.col("h").alias("g")).agg(F.min("node").alias("a"))
+    return live.join(least, live["h"] == least["g"]).filter("a != node").select("a", F.col("node").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -320,8 +356,10 @@ def verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, words: int,
 def join(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, k, th, n_shingles, node, first (k of the component's smallest doc_id) for each row of docs."""
     sets = cut(sets_of(docs, words))
-    clusters = components(cut(candidates(docs, words, num, den)))
+    clusters = components(cut(candidates(docs, sets, words, num, den)))
+    tidy(docs.sparkSession)
     linked = components(cut(verified(docs, sets, clusters, words, num, den)))
+    tidy(docs.sparkSession)
     own = sets.filter("node is not null").groupBy("node").agg(F.min("k").alias("least"))
     own = own.join(linked, own["node"] == linked["id"], "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     first = own.groupBy("component").agg(F.min("least").alias("first"))
@@ -341,13 +379,27 @@ def distinct_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     found = join(docs, words, num, den)
     # One row of a component stays: the least (k, th) of those whose k is the component's first.
     best = found.filter("node is not null and k = first").groupBy("set_component").agg(F.min(F.struct("k", "th")).alias("one"))
-    stay = best.select(F.col("one.k").alias("_sf_k"), F.col("one.th").alias("_sf_th"), F.lit(1).alias("_sf_one"))
-    empty = found.filter("node is null").select(F.col("k").alias("_sf_k"), F.col("th").alias("_sf_th"), F.lit(0).alias("_sf_one")).distinct()
-    stay = stay.union(empty)
-    mine = docs.withColumns({"_sf_k2": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_sf_th2": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    joined = mine.join(stay, (F.col("_sf_k2") == F.col("_sf_k")) & (F.col("_sf_th2") == F.col("_sf_th")))
-    once = joined.filter("_sf_one = 1").dropDuplicates(["_sf_k2", "_sf_th2"])
-    return once.union(joined.filter("_sf_one = 0")).select(*docs.columns)
+    stay = best.select("one.k", "one.th", F.lit(True).alias("one"))
+    stay = cut(stay.union(found.filter("node is null").select("k", "th", F.lit(False).alias("one")).distinct()))
+    tidy(docs.sparkSession)
+    # Of rows that agree in doc_id and text the first counts; the join has brought them together.
+    again = Window.partitionBy("k", "th").orderBy("k")
+    joined = whole_rows(docs).join(stay, ["k", "th"]).withColumn("n", F.row_number().over(again))
+    return joined.filter("n = 1 or not one").select("row.*")
 
 
 QUERIES = {"op5_jaccard": op5_jaccard}
+ORACLES = {
+    "op5_jaccard": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, list_distinct(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) when len(w) > 0 then [array_to_string(w, ' ') || ' '] else [] end) g from d),
+n as (select doc_id, len(g)::bigint n from s),
+t as (select doc_id, unnest(g) t from s),
+c as (select a.doc_id x, b.doc_id y, count(*) o from t a join t b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from c join n a on a.doc_id = x join n b on b.doc_id = y where 100 * o >= 90 * (a.n + b.n - o)),
+u as (select x, y from e union all select y, x from e),
+r(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, u.y from r join u on r.other = u.x)
+select n.doc_id, n.n as n_shingles, min(r.other) as component_id from n join r on r.doc_id = n.doc_id group by 1, 2
+"""
+}
+

@@ -252,15 +252,15 @@ def closer(doubt: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: tuple[list, list] = ([], [])
         for batch in batches:
-            for block in batch.column("block").to_pylist():
-                kinds[block[0]].append(block[1:])
+            for block in (x.as_buffer() for x in batch.column("block")):
+                kinds[memoryview(block)[0]].append(block)
         marks = []
         if kinds[1]:
-            h, g, k, th, at, done = unpack(kinds[1], FAR)
+            h, g, k, th, at, done = unpack(kinds[1], FAR, 1)
             out = np.flatnonzero((done > 0) | _later(h, g, k, th, at))
             marks.append((k[out], th[out], at[out]))
         if kinds[0]:
-            h, raw, k, th, pos, left, right = unpack(kinds[0], NEAR)
+            h, raw, k, th, pos, left, right = unpack(kinds[0], NEAR, 1)
             rows = raw.view(np.uint8).reshape(-1, AROUND)
             left, right = left.astype(np.int64), right.astype(np.int64)
             most_right = shared(h, np.ascontiguousarray(rows[:, BACK:]), right)
