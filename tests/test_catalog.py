@@ -36,3 +36,14 @@ def test_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 62
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_map_fft(spark):
+    import numpy as np
+
+    x = np.array([r.v for r in catalog.vectors(spark, TABLES).df.orderBy("idx").collect()])
+    want = np.abs(np.fft.rfft(x, axis=1)[:, :4]) ** 2
+    got = np.zeros_like(want)
+    for r in catalog.QUERIES["map_fft"](spark, TABLES).collect():
+        got[r.idx, r.k] = r.p
+    assert np.allclose(got, want, atol=1e-5)
