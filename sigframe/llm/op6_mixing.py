@@ -100,8 +100,9 @@ def sampled(docs: DataFrame, **settings) -> DataFrame:
     words = r"split(regexp_replace(text, '^[\\x20\\x09-\\x0D]+', ''), '(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])')"
     chosen = _CHOSEN.format("(((c0 + i + 1) * blocks - 1) div w)")
     part = F.when(F.col("extra") > 0, F.expr(f"array_join(filter({words}, (x, i) -> {chosen}), '')"))
-    copies = F.concat(F.expr("array_repeat(cast(null as string), cast(passes as int))"), F.when(F.length(part) > 0, F.array(part)).otherwise(F.expr("cast(array() as array<string>)")))
-    out = joined.select("row", copies.alias("copies")).select("row", F.explode("copies").alias("part"))
+    joined = joined.select("row", "passes", part.alias("part"))  # once, not in each place that uses it
+    some = F.when(F.length("part") > 0, F.array("part")).otherwise(F.expr("cast(array() as array<string>)"))
+    out = joined.select("row", F.explode(F.concat(F.expr("array_repeat(cast(null as string), cast(passes as int))"), some)).alias("part"))
     row = F.col("row").withField("text", F.coalesce("part", F.col("row.text")))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.when(F.col("part").isNull(), F.col("row.n_chars")).otherwise(F.char_length("part").cast(dict(docs.dtypes)["n_chars"])))
