@@ -238,8 +238,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 found = [(x[1:], int(x[0]) & 1, int(x[0]) & 2) for x in unpress.decompress(page).decode("utf-8", "surrogatepass").split("\n") if x]
                 other = pl if _path_alike(path or "", p) >= _path_alike(path or "", n) else nl
                 gone = set(common([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _, _ in found], other or []))
-                whole = any(b and not a for _, a, b in found)
-                kept = [t for i, (t, a, b) in enumerate(found) if not a and (b if whole else i not in gone)]
+                kept = [t for i, (t, a, b) in enumerate(found) if not a and (b or i not in gone)]
                 texts.append(" ".join(kept))
                 counts.append(len(found))
                 shared.append(len(gone))

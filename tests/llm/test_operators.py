@@ -80,6 +80,14 @@ def test_html(spark):
     assert op1_html.extract(df.where("false")).count() == 0
 
 
+def test_html_lines_beside_the_article(spark):
+    """Lines outside <article> and <main> stay unless a neighbour has them too; lines inside stay."""
+    page = lambda lead, article, body: f"<body><div>Site line</div><p>{lead}</p><article><p>{article}</p><p>House style</p></article><div><p>{body}</p></div></body>"
+    rows = [(1, "http://a.org/x/1", page("lead one", "article one", "body one")), (2, "http://a.org/x/2", page("lead two", "article two", "body two")), (3, "http://b.org/", page("lead", "article", "body"))]
+    got = {r.page_id: r.text for r in op1_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "lead one article one House style body one", 2: "lead two article two House style body two", 3: "Site line lead article House style body"}
+
+
 def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
