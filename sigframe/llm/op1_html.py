@@ -195,7 +195,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
 
     n = partitions(pages.sparkSession)
     one = pages.filter("host is not null").select("host", "path", "hh", "html").mapInArrow(hashed, "host string, path string, hh bigint, lines array<bigint>")
-    one = one.repartitionByRange(n, "host", "path", "hh").sortWithinPartitions("host", "path", "hh")
+    one = one.dropDuplicates(["host", "path", "hh"]).repartitionByRange(n, "host", "path", "hh").sortWithinPartitions("host", "path", "hh")
     # A place in the order: a partition's rows are numbered, and the few partitions' counts are summed.
     placed = cut(one.withColumn("m", F.monotonically_increasing_id()))
     placed = placed.withColumn("part", F.shiftright("m", 33)).withColumn("i", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
@@ -210,7 +210,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
     for name, by in (("prev", 1), ("next", -1)):
         other = side(name, by)
         out = out.join(other, (out["rank"] == other[f"{name}_rank"]) & (out["host"] == other[f"{name}_host"]) & (out["hh"] != other[f"{name}_hh"]), "left")
-    return out.select("host", "path", "hh", "prev_path", "prev_lines", "next_path", "next_lines").dropDuplicates(["host", "path", "hh"])
+    return out.select("host", "path", "hh", "prev_path", "prev_lines", "next_path", "next_lines")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -88,6 +88,14 @@ def test_html_lines_beside_the_article(spark):
     assert got == {1: "lead one article one House style body one", 2: "lead two article two House style body two", 3: "Site line lead article House style body"}
 
 
+def test_html_repeated_pages(spark):
+    """All copies of a page, also under other query strings, get the neighbour that one page would have."""
+    plain = lambda body: f"<body><div>Menu</div><p>{body}</p><p>Also shared</p></body>"
+    rows = [(i, f"http://a.org/x/1?q={i}", plain("first")) for i in range(5)] + [(10 + i, "http://a.org/x/2", plain("second")) for i in range(4)] + [(20, "http://b.org/x", plain("alone")), (21, "http://b.org/x", plain("alone"))]
+    got = {r.page_id: r.text for r in op1_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {i: "first" if i < 10 else "second" if i < 20 else "Menu alone Also shared" for i, _, _ in rows}
+
+
 def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
