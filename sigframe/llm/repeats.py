@@ -117,6 +117,9 @@ def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
         if len(some):
             whole = combined(h[some], around[some], k[some], th[some], pos[some], by_document)
             out[some[whole]] = WHOLE
+            # A witness tells of records that some task has sent on as MANY, also where it repeats in full itself.
+            new = _runs(h[some])
+            told_many = np.repeat(np.logical_or.reduceat(state[some] == WITNESS, new), np.diff(np.append(new, len(some))))[~whole]
             left = some[~whole]  # still ordered by anchor
             if len(left):
                 new = _runs(h[left])
@@ -124,7 +127,7 @@ def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
                 unlike = np.minimum.reduceat(around[left], new) != np.maximum.reduceat(around[left], new)
                 if by_document:
                     unlike &= np.minimum.reduceat(k[left], new) != np.maximum.reduceat(k[left], new)
-                many = unlike & ((counts > MANY_IN_ALL) | np.logical_or.reduceat(state[left] == WITNESS, new))
+                many = told_many[new] | unlike & (counts > MANY_IN_ALL)
                 out[left] = np.repeat(np.where(many, MANY, np.where(unlike, OPEN, -1)), counts)
         out[state == WITNESS] = -1
         told = np.flatnonzero(out >= 0)

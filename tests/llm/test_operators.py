@@ -435,6 +435,25 @@ def test_many_surroundings(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got) == brute_words(rows)
 
 
+def test_many_surroundings_in_some_batches(spark):
+    """Passages in 20 surroundings each, copied many times: few of them in batches of early ids, all in others."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for _ in range(8):
+        passage = [word() for _ in range(26)]
+        texts.append([" ".join([word() for _ in range(8)] + passage + [word() for _ in range(8)]) for _ in range(20)])
+    parts = [[v for _ in range(3) for v in range(15)], [v for _ in range(5) for v in range(20)], [v for v in range(5, 10)] * 4]
+    rows, tasks = [], []
+    for part in parts:
+        some = [(len(rows) + i, variants[v]) for i, (v, variants) in enumerate((v, t) for v in part for t in texts)]
+        rows += some
+        tasks.append(spark.sparkContext.parallelize(some, 1))  # a union of frames would be one task
+    df = spark.createDataFrame(spark.sparkContext.union(tasks), "doc_id long, text string")
+    got = op8_suffixes.deduplicated(df).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows)
+
+
 def test_deep_shallow():
     rng = random.Random(2)
     for _ in range(60):
