@@ -86,7 +86,7 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, genera
     near = cut(near.select("k", "th", "entity", "y.s", "y.e", "y.term"))
     both = near.groupBy("entity", "term").agg(F.countDistinct("th").alias("n_te")).filter(F.col("n_te") >= support)
     entities = found.select("th", F.explode("base").alias("b")).groupBy(F.xxhash64("b.o", "b.v").alias("entity")).agg(F.countDistinct("th").alias("n_e"))
-    texts = keyed(docs).select("text")
+    texts = keyed(docs).dropDuplicates(["th"]).select("text")
     words = texts.select(F.explode(F.array_distinct(F.expr("transform(regexp_extract_all(lower(text), '" + TERM.replace("\\", "\\\\") + "', 0), w -> xxhash64(w))"))).alias("term"))
     frequency = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = found.select(F.countDistinct("th").alias("n"))

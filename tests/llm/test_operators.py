@@ -200,6 +200,19 @@ def test_disclosing_terms(spark):
     assert "Zaphod" not in text[0] and "z@ship" not in text[0] and "[EMAIL]" in text[0] and text[100] == rows[6][1]
 
 
+def told(spark, rows):
+    """The words that op3_pii takes for terms, by doc_id."""
+    texts = dict(rows)
+    return {r.doc_id: {texts[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"} for r in op3_pii.report(documents(spark, rows)).collect()}
+
+
+def test_terms_of_texts_that_repeat(spark):
+    """Copies of a text count once."""
+    rows = [(i, f"the Zaphod z@ship.org house {'abcde'[i]}") for i in range(5)] + [(100 + i, f"the house {i}") for i in range(200)] + [(1000 + i, "the Zaphod z@ship.org house a") for i in range(300)]
+    got = told(spark, rows)
+    assert all(got[i] == {"Zaphod"} for i in (0, 1, 1000, 1299)) and not got[100]
+
+
 # ---- 4 ----
 
 
