@@ -1,11 +1,11 @@
 """Personal data and the terms that give it away. DataFrame functions only.
 
 Base spans (e-mail, IP, card and phone numbers) are found by pattern and check. Each distinct value is a protected
-entity e. A term t (a word of three letters or more within `REACH` characters of e) discloses e as far as t carries e's
-information: PMI(t, e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)), from counts of distinct texts over the
-whole corpus: 1 where t stands in no text without e, 0 where it is independent of e. From `GENERALISE` on the term is
-generalised, from `REMOVE` on it is removed, wherever it stands within reach of e. A term needs `SUPPORT` distinct
-texts with e, so words that only chance has put beside e stay.
+entity e. A term t (a word of three letters or more, outside base
+spans) discloses e as far as t carries e's information: PMI(t, e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)),
+from counts of distinct texts over the whole corpus: 1 where t stands in no text without e, 0 where it is independent of
+e. From `GENERALISE` on the term is generalised, from `REMOVE` on it is removed, wherever it stands in a text that has e;
+texts without e keep it. A term needs `SUPPORT` distinct texts with e, so words that only chance has put beside e stay.
 
 Null texts are empty; empty texts have no spans. Texts that repeat count once in the statistics; each row gets its
 result. An empty table gives no row; other columns are kept by sanitise() and ignored elsewhere.
@@ -30,7 +30,6 @@ PATTERNS = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]([\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])"
-REACH = 40
 SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.9
@@ -60,48 +59,56 @@ _LUHN = (
 CHECKS = {"email": "true", "ip": f"x.v rlike '^{BYTE}([.]{BYTE})" + "{3}$'", "card": _LUHN, "phone": f"char_length({_DIGITS}) between 9 and 15"}
 
 
+_ENTITIES = "transform(array_distinct(transform(base, x -> struct(x.o as o, x.v as v))), x -> xxhash64(x.o, x.v))"
+_TERMS = "array_distinct(transform(regexp_extract_all(rest, '" + TERM.replace("\\", "\\\\") + "', 0), w -> xxhash64(lower(w))))"
+
+
 def based(docs: DataFrame) -> DataFrame:
-    """doc_id, k, th and base: an array of (s, o, e, v, before, after), o the kind's place in KINDS."""
+    """doc_id, k, th, base: an array of (s, o, e, v), o the kind's place in KINDS, and rest: the text, zeros where base
+    spans stand, which neither are terms nor let terms begin or end beside them."""
     df = keyed(docs)
-    for kind in KINDS:
+    for i, kind in enumerate(KINDS):
         df = located(df, "text", PATTERNS[kind], kind, NEEDS[kind])
-    one = "transform(filter({0}, x -> {1}), x -> struct(x.s as s, {2} as o, x.e as e, x.v as v))"
-    df = df.withColumn("_all", F.concat(*[F.expr(one.format(k, CHECKS[k], i)) for i, k in enumerate(KINDS)]))
-    df = df.withColumn("_all", F.sort_array("_all"))
-    near = f"transform(_all, x -> struct(x.s as s, x.o as o, x.e as e, x.v as v, substring(text, greatest(1, x.s + 1 - {REACH}), least(x.s, {REACH})) as before, substring(text, x.e + 1, {REACH}) as after))"
-    return df.select("doc_id", "k", "th", F.expr(near).alias("base"))
+        df = df.withColumn(kind, F.expr(f"transform(filter({kind}, x -> {CHECKS[kind]}), x -> struct(x.s as s, {i} as o, x.e as e, x.v as v))"))
+    df = df.withColumn("rest", F.col("text"))
+    for kind in KINDS:
+        pieces = f"transform({kind}, (x, i) -> concat(substring(rest, case when i = 0 then 1 else {kind}[i - 1].e + 1 end, x.s - case when i = 0 then 0 else {kind}[i - 1].e end), repeat('0', x.e - x.s)))"
+        df = df.withColumn("rest", F.expr(f"case when size({kind}) = 0 then rest else concat(array_join({pieces}, ''), substring(rest, element_at({kind}, -1).e + 1)) end"))
+    return df.select("doc_id", "k", "th", F.sort_array(F.concat(*KINDS)).alias("base"), "rest")
 
 
 def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """k, th, s, e, level (r: disclosure, at least generalise) of terms near the entities that they disclose."""
-    rows = found.select("k", "th", F.col("base").alias("base_all"), F.explode("base").alias("b"))
-    rows = rows.select("k", "th", "base_all", F.xxhash64("b.o", "b.v").alias("entity"), F.explode(F.array(
-        F.struct((F.col("b.s") - F.char_length("b.before")).alias("at"), F.col("b.before").alias("t"), F.lit(True).alias("left")),
-        F.struct(F.col("b.e").alias("at"), F.col("b.after").alias("t"), F.lit(False).alias("left")))).alias("c"))
-    rows = rows.select("k", "th", "base_all", "entity", "c.*")
-    # A word that the reach has cut is no term: it stands at the outer end, where the text goes on.
-    whole = f"((not left) or x.s > 0 or char_length(t) < {REACH}) and (left or x.e < char_length(t) or char_length(t) < {REACH})"
-    near = located(rows, "t", TERM, "terms")
-    near = near.select("k", "th", "entity", F.explode(F.expr(f"filter(transform(filter(terms, x -> {whole}), x -> struct(at + x.s as s, at + x.e as e, xxhash64(lower(x.v)) as term)), y -> not exists(base_all, z -> z.s < y.e and y.s < z.e))")).alias("y"))
-    near = cut(near.select("k", "th", "entity", "y.s", "y.e", "y.term"))
-    both = near.groupBy("entity", "term").agg(F.countDistinct("th").alias("n_te")).filter(F.col("n_te") >= support)
-    entities = found.select("th", F.explode("base").alias("b")).groupBy(F.xxhash64("b.o", "b.v").alias("entity")).agg(F.countDistinct("th").alias("n_e"))
-    texts = keyed(docs).dropDuplicates(["th"]).select("text")
-    words = texts.select(F.explode(F.array_distinct(F.expr("transform(regexp_extract_all(lower(text), '" + TERM.replace("\\", "\\\\") + "', 0), w -> xxhash64(w))"))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = found.select(F.countDistinct("th").alias("n"))
-    scored = both.join(entities, "entity").join(frequency, "term").crossJoin(F.broadcast(total))
-    n_t = F.greatest(F.col("n_t"), F.col("n_te")).cast("double")
-    r = F.log(F.col("n") * F.col("n_te") / (n_t * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-    scored = scored.filter(F.col("n_e") < F.col("n")).select("entity", "term", r.alias("r")).filter(F.col("r") >= generalise)
-    return near.join(scored, ["entity", "term"]).groupBy("k", "th", "s", "e").agg(F.max("r").alias("r"))
+    """th, terms (an array of (s, e, r), r the disclosure, at least generalise) of texts with an entity that they
+    disclose. found: as from based(), rest needed only where base spans are."""
+    texts = found.select("th").distinct()
+    n = texts.count()
+    with_base = found.filter("size(base) > 0").select("th", "base", "rest").dropDuplicates(["th"])
+    entity = with_base.select("th", F.explode(F.expr(_ENTITIES)).alias("entity"))
+    # An entity in fewer texts than the support, or in all texts, has no term.
+    entities = entity.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") < n))
+    entity = cut(entity.join(entities, "entity"))
+    words = with_base.join(entity.select("th").distinct(), "th", "left_semi").select("th", F.explode(F.expr(_TERMS)).alias("term"))
+    every = based(docs).select("th", "rest").dropDuplicates(["th"]).select(F.explode(F.expr(_TERMS)).alias("term"))
+    frequency = every.groupBy("term").agg(F.count("*").alias("n_t"))
+    # r >= generalise asks for n(t) <= n(t,e) (N / n(e)) ** (1 - generalise), which is largest where t's every text
+    # with any entity has e, and e no other text: other terms need no pairs.
+    most = F.pow(F.col("n_p").cast("double"), F.lit(generalise)) * F.pow(F.lit(float(n)), F.lit(1 - generalise)) * 1.000001
+    able = words.groupBy("term").agg(F.count("*").alias("n_p")).filter(F.col("n_p") >= support).join(frequency, "term").filter(F.col("n_t") <= most)
+    words = cut(words.join(able.select("term", "n_t"), "term"))
+    pairs = words.join(entity, "th").groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
+    r = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e"))) / F.log(F.lit(float(n)) / F.col("n_e"))
+    scored = cut(pairs.select("entity", "term", r.alias("r")).filter(F.col("r") >= generalise))
+    flagged = words.select("th", "term").join(entity.select("th", "entity"), "th").join(scored, ["entity", "term"]).groupBy("th", "term").agg(F.max("r").alias("r"))
+    flagged = flagged.groupBy("th").agg(F.map_from_entries(F.collect_list(F.struct("term", "r"))).alias("flags"))
+    at = located(with_base.select("th", "rest").join(flagged, "th"), "rest", TERM, "at")
+    terms = F.expr("filter(transform(at, x -> struct(x.s as s, x.e as e, try_element_at(flags, xxhash64(lower(x.v))) as r)), x -> x.r is not null)")
+    return at.select("th", terms.alias("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, k, th, base and terms (an array of (s, e, r)) of each row of docs."""
-    found = cut(based(docs))
-    terms = disclosing(docs, found).groupBy("k", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e", "r"))).alias("terms"))
-    joined = found.join(terms, ["k", "th"], "left")
+    found = cut(based(docs).withColumn("rest", F.expr("case when size(base) > 0 then rest end")))
+    joined = found.drop("rest").join(disclosing(docs, found), "th", "left")
     return joined.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,e:int,r:double>>)")))
 
 

@@ -206,6 +206,15 @@ def told(spark, rows):
     return {r.doc_id: {texts[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"} for r in op3_pii.report(documents(spark, rows)).collect()}
 
 
+def test_terms_of_the_whole_text(spark):
+    """Terms count, and go, however far from the value; texts without it keep them."""
+    far = "plain words of the house " * 40
+    rows = [(i, f"Zaphod {far} z@ship.org {far} Zaphod {i}") for i in range(4)] + [(100 + i, far + str(i)) for i in range(200)]
+    got = op3_pii.report(documents(spark, rows)).collect()
+    assert all(r.n_term == (2 if r.doc_id < 100 else 0) for r in got)
+    assert not any("Zaphod" in r.text for r in op3_pii.sanitise(documents(spark, rows)).collect())
+
+
 def test_terms_of_texts_that_repeat(spark):
     """Copies of a text count once."""
     rows = [(i, f"the Zaphod z@ship.org house {'abcde'[i]}") for i in range(5)] + [(100 + i, f"the house {i}") for i in range(200)] + [(1000 + i, "the Zaphod z@ship.org house a") for i in range(300)]
