@@ -1,7 +1,8 @@
 """Personal data and the terms that give it away. DataFrame functions only.
 
-Base spans (e-mail, IP, card and phone numbers) are found by pattern and check. Each distinct value is a protected
-entity e. A term t (a word of three letters or more, outside base
+Base spans (e-mail, IP, card and phone numbers) are found by pattern and check. Protected entities e are each distinct
+value, and what values that never recur have in common: the normalised value, an e-mail's domain, the first numbers of
+an IP, the first digits of a card or phone, and the kind itself. A term t (a word of three letters or more, outside base
 spans) discloses e as far as t carries e's information: PMI(t, e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)),
 from counts of distinct texts over the whole corpus: 1 where t stands in no text without e, 0 where it is independent of
 e. From `GENERALISE` on the term is generalised, from `REMOVE` on it is removed, wherever it stands in a text that has e;
@@ -59,7 +60,14 @@ _LUHN = (
 CHECKS = {"email": "true", "ip": f"x.v rlike '^{BYTE}([.]{BYTE})" + "{3}$'", "card": _LUHN, "phone": f"char_length({_DIGITS}) between 9 and 15"}
 
 
-_ENTITIES = "transform(array_distinct(transform(base, x -> struct(x.o as o, x.v as v))), x -> xxhash64(x.o, x.v))"
+#: What stands for an entity beside the kind and the exact value.
+_ENTITIES = (
+    "transform(array_distinct(flatten(transform(base, x -> concat(array(struct(x.o as o, 'kind' as c, '' as v), struct(x.o as o, 'value' as c, x.v as v)), case "
+    "when x.o = 0 then array(struct(x.o as o, 'same' as c, lower(x.v) as v), struct(x.o as o, 'part' as c, lower(substring_index(x.v, '@', -1)) as v)) "
+    "when x.o = 1 then array(struct(x.o as o, 'part' as c, substring_index(x.v, '.', 2) as v), struct(x.o as o, 'part' as c, substring_index(x.v, '.', 3) as v)) "
+    f"when x.o = 2 then array(struct(x.o as o, 'same' as c, {_DIGITS} as v), struct(x.o as o, 'part' as c, left({_DIGITS}, 6) as v)) "
+    f"else array(struct(x.o as o, 'same' as c, {_DIGITS} as v), struct(x.o as o, 'part' as c, left({_DIGITS}, char_length({_DIGITS}) - 7) as v)) end)))), x -> xxhash64(x.o, x.c, x.v))"
+)
 _TERMS = "array_distinct(transform(regexp_extract_all(rest, '" + TERM.replace("\\", "\\\\") + "', 0), w -> xxhash64(lower(w))))"
 
 

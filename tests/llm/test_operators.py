@@ -206,6 +206,13 @@ def told(spark, rows):
     return {r.doc_id: {texts[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"} for r in op3_pii.report(documents(spark, rows)).collect()}
 
 
+def test_terms_of_values_that_never_recur(spark):
+    """A domain, a number's beginning, a kind: each value stands once."""
+    plain = [(100 + i, f"plain words number{'abcdefghij'[i % 10]} of the house") for i in range(200)]
+    got = told(spark, plain + [(i, f"the Zaphod a{i}@ship.org house") for i in range(4)] + [(10 + i, f"the Trillian +1 (555) 123-400{i} house") for i in range(4)] + [(20, "the house b@other.net")])
+    assert all(got[i] == {"Zaphod"} and got[10 + i] == {"Trillian"} for i in range(4)) and not got[20] and not got[100]
+
+
 def test_terms_of_the_whole_text(spark):
     """Terms count, and go, however far from the value; texts without it keep them."""
     far = "plain words of the house " * 40
