@@ -32,11 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the checkpoint folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="sigframe-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as the session names it. One of our own only where there is one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return (where or tempfile.mkdtemp(prefix="sigframe-")).rstrip("/")
+
+
 def tidy(spark: SparkSession) -> None:
     """After a cut: lets Spark remove the shuffle files of the plan that was cut, which it does when nothing on the
     driver refers to them any more."""
@@ -50,15 +57,14 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text_of()).alias("th"))
 
 
-#: Rows of text that go to a Python worker at a time, unless the session says otherwise.
-ROWS = 1000
+#: Rows of text that a Python worker turns into objects at a time; a batch, of which Spark bounds the bytes, has more.
+ROWS = 256
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Spark's default of 10000 rows in a batch is for numbers: as many texts would fill a worker's memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(ROWS))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def text_of(column: str = "text") -> Column:
@@ -71,7 +77,6 @@ def keyed(docs: DataFrame) -> DataFrame:
 
     Rows that agree in doc_id and text are one document to the operators; each still gets its own row in a result.
     """
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", text_of().alias("text")).select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("th"), "text"
     )

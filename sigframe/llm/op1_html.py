@@ -1,14 +1,20 @@
 """Main text of web pages, by differencing pages of near URLs.
 
-Pages are put in order by host and URL path. Of the pages before and after it on its host, the one with the longer
-common path is a page's neighbour. The text lines (blocks) of both are aligned by a longest common subsequence, and
-shared lines go: what pages of one part of a site have in common is the site's, not the page's. Two things differencing
-cannot see are read from the markup: containers whose name or class says that they are no part of an article (their
-lines may change from page to page), and the article itself, whose lines stay even where a neighbour holds a copy of it.
-
-Null html gives an empty text. Null or broken URLs have no neighbour. Rows that agree in URL and html are one page to
-the differencing and each get a row. Truncated pages are read as far as they go. An empty table gives no row; other
-columns are ignored.
+Pages are put in order by host and URL path; pages of a host with equal lines are one, at the least of their paths. Up
+to two pages before and two after a page on its host are near it. The text lines (blocks) of both are aligned by a
+longest common subsequence. The nearest (by common path) is the page's pair, and lines shared with it go: what pages of
+one part of a site have in common is the site's, not the page's. Of the text that is not shared with all near pages of
+a path as near, a copy of the article has more than half; it is no pair. Lines inside <article> or <main>
+stay: headlines and first paragraphs that several articles share are theirs all the same.
+
+Differencing cannot see menus, notices and adverts whose text changes from page to page. Elements that hold no main text
+by their name go with all that they hold (nav, aside, script, ...). Forms, and elements whose class, id or role says so,
+go too, but not where they hold most of a page that has no article outside of them: then their lines are the
+differencing's to judge.
+
+Null html gives an empty text. Null or broken URLs have no near pages. Repeated pages each get a row. Truncated pages
+are read as far as they go; very long pages take memory in proportion to their length. An empty table gives no row;
+other columns are ignored. Reruns agree: ties go to the page before.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import cut, partitions, read, small_batches
+from sigframe.llm.common import cut, partitions, pieces, read
 
 #: Elements that begin and end a block of text.
 BLOCK = frozenset(
@@ -34,7 +40,7 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no main text, and words of a class, id or role that say the same.
-APART = frozenset("aside button canvas datalist dialog footer form head iframe map menu nav noscript object search select svg template textarea title video audio".split())
+APART = frozenset("aside button canvas datalist dialog footer head iframe map menu nav noscript object search select svg template textarea title video audio".split())
 SAYS_APART = frozenset(
     "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
     "signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond related recommended share sharing social toolbar widget "
@@ -50,34 +56,43 @@ ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*
 WORDS = re.compile(r"[a-z]+")
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is apart from the main text, and whether it is the article."""
-    apart, own = name in APART, name in ("article", "main")
+#: Near pages on either side of a page, and what share of a page's own text its copies have.
+NEAR = 2
+COPY = 0.5
+#: Pages that a task goes through at a time.
+STRETCH = 4096
+
+
+def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is apart from the main text by name or because it is hidden, whether it says so by a class,
+    id or role, and whether it is the article."""
+    apart, says, own = name in APART, name == "form", name in ("article", "main")
     if attributes and "=" in attributes or "hidden" in attributes:
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id", "role"):
                 words = set(WORDS.findall(value))
-                apart = apart or name not in ("html", "body", "main") and bool(words & SAYS_APART)
+                says = says or name not in ("html", "body", "main") and bool(words & SAYS_APART)
                 own = own or key == "role" and value == "main"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 apart = apart or key != "hidden" or not value or value == "hidden"
-    return apart, own
+    return apart, says, own
 
 
 def lines(page: str) -> list[tuple[str, bool, bool]]:
     """The blocks of a page in order: text, whether it stands apart from the main text, whether in the article."""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # the last: elements around that say that they are apart
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    apart = article = 0
+    stack: list[tuple[str, bool, bool, bool]] = []
+    said: list[int] = []
+    apart = article = number = 0
     at = 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(held)).split()) if held else ""
         held.clear()
         if text:
-            out.append((text, apart > 0, article > 0))
+            out.append((text, apart > 0, article > 0, tuple(said)))
 
     for token in TOKEN.finditer(page):
         if token.start() > at:
@@ -96,27 +111,48 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if token["end"] or token["end2"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if any(s[1] or s[2] or s[0] in BLOCK for s in stack[i:]):
+                    if any(any(s[1:]) or s[0] in BLOCK for s in stack[i:]):
                         close()
-                    for _, a, b in stack[i:]:
+                    for _, a, b, c in stack[i:]:
                         apart -= a
-                        article -= b
+                        article -= c
+                        if b:
+                            said.pop()
                     del stack[i:]
                     break
         elif name not in VOID:
-            attributes = token["attr"] or token["attr2"] or ""
-            a, b = _marks(name, attributes)
+            a, b, c = _marks(name, token["attr"] or token["attr2"] or "")
             if name == "header" and not article:
                 a = True
-            if a or b:
+            if a or b or c:
                 close()
-            stack.append((name, a, b))
+            stack.append((name, a, b, c))
             apart += a
-            article += b
+            article += c
+            if b:
+                number += 1
+                said.append(number)
     if at < len(page):
         held.append(page[at:])
     close()
-    return out
+    return [(t, a or bool(s), b) for t, a, b, s in _believed(out)]
+
+
+def _believed(found: list[tuple[str, bool, bool, tuple[int, ...]]]) -> list[tuple[str, bool, bool, tuple[int, ...]]]:
+    """The blocks without elements that say that they are apart and yet hold most of a page's text, the outermost
+    first, as long as no article stands outside of all such elements."""
+    while True:
+        shown = [(len(t), b, s) for t, a, b, s in found if not a]
+        if not any(s for _, _, s in shown) or any(b and not s for _, b, s in shown):
+            return found
+        held: dict[int, int] = {}
+        for n, _, s in shown:
+            if s:
+                held[s[0]] = held.get(s[0], 0) + n
+        most = max(held, key=held.get)
+        if 2 * held[most] <= sum(n for n, _, _ in shown):
+            return found
+        found = [(t, a, b, s[1:] if s and s[0] == most else s) for t, a, b, s in found]
 
 
 # ---- longest common subsequence ------------------------------------------------------------------
@@ -170,81 +206,132 @@ def common(a: Sequence, b: Sequence, most: int = 1 << 27) -> list[int]:
     return common(a[:half], b[:split], most) + [half + i for i in common(a[half:], b[split:], most)]
 
 
-def _path_alike(a: str, b: str | None) -> int:
-    return -1 if b is None else sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(a, b)))
+def path_alike(a: str, b: str) -> int:
+    return sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(a, b)))
+
+
+def numbered(found: Sequence[tuple[str, bool, bool]]) -> list[int]:
+    """A number for each line: equal for equal lines of one kind; the last bits are its kind (apart, in the article)
+    and, above them, its length up to 4095."""
+    return [(xxhash.xxh3_64_intdigest(t) << 14 & (1 << 63) - 1 | min(len(t), 4095) << 2 | a << 1 | b) for t, a, b in found]
+
+
+def judged(own: Sequence[int], path: str, near: Sequence[tuple[str, Sequence[int]]]) -> list[bool]:
+    """Whether each line of a page goes, by its near pages (path and lines) in their order of preference."""
+    gone = [False] * len(own)
+    if not near:
+        return gone
+    size = [(x >> 2 & 4095) * (not x & 2) for x in own]
+    shared = [common(own, other) for _, other in near]
+    share = [sum(size[i] for i in s) for s in shared]
+    alike = [path_alike(path, p) for p, _ in near]
+    least = [min(s for s, a in zip(share, alike) if a >= own_a) for own_a in alike]
+    copies = [s - m > COPY * (sum(size) - m) for s, m in zip(share, least)]
+    if all(copies):
+        return gone
+    pair = max((i for i in range(len(near)) if not copies[i]), key=lambda i: (alike[i], -i))
+    for i in shared[pair]:
+        gone[i] = not own[i] & 1
+    return gone
 
 
 # ---- the operator ---------------------------------------------------------------------------------
 
 
 def _located(pages: DataFrame) -> DataFrame:
-    small_batches(pages.sparkSession)
     url = F.col("url").cast("string")
     host = F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"), path.alias("path")).withColumn("hh", F.xxhash64("html"))
+    return pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """host, path, hh of each distinct page of located pages, with the paths and hashed lines of those before and after it."""
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _, _ in lines(p)] for p in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("host", "path", "hh")] + [pa.array(found, pa.list_(pa.int64()))], ["host", "path", "hh", "lines"])
-
-    n = partitions(pages.sparkSession)
-    one = pages.filter("host is not null").select("host", "path", "hh", "html").mapInArrow(hashed, "host string, path string, hh bigint, lines array<bigint>")
-    one = one.dropDuplicates(["host", "path", "hh"]).repartitionByRange(n, "host", "path", "hh").sortWithinPartitions("host", "path", "hh")
+def shared_lines(read_lines: DataFrame) -> DataFrame:
+    """host, lh, gone (a byte for each line, 1 where it goes) for each distinct page of rows (host, path, lh, lines)."""
+    spark = read_lines.sparkSession
+    n = partitions(spark)
+    one = read_lines.filter("host is not null and size(lines) > 0").groupBy("host", "lh").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
     # A place in the order: a partition's rows are numbered, and the few partitions' counts are summed.
-    placed = cut(one.withColumn("m", F.monotonically_increasing_id()))
+    placed = cut(one.repartitionByRange(n, "host", "path", "lh").sortWithinPartitions("host", "path", "lh").withColumn("m", F.monotonically_increasing_id()))
     placed = placed.withColumn("part", F.shiftright("m", 33)).withColumn("i", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = cut(placed.join(before, "part").select("host", "path", "hh", "lines", (F.col("before") + F.col("i")).alias("rank")))
-
-    def side(name: str, by: int) -> DataFrame:
-        return ranked.select((F.col("rank") + by).alias(f"{name}_rank"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("hh").alias(f"{name}_hh"), F.col("lines").alias(f"{name}_lines"))
-
-    out = ranked
-    for name, by in (("prev", 1), ("next", -1)):
-        other = side(name, by)
-        out = out.join(other, (out["rank"] == other[f"{name}_rank"]) & (out["host"] == other[f"{name}_host"]) & (out["hh"] != other[f"{name}_hh"]), "left")
-    return out.select("host", "path", "hh", "prev_path", "prev_lines", "next_path", "next_lines")
-
+    ranked = placed.join(before, "part").select("host", "path", "lh", "lines", (F.col("before") + F.col("i")).alias("rank"))
+    # Stretches of the order, each with the pages next to it.
+    ranked = ranked.withColumn("stretch", F.explode(F.expr(f"array_distinct(transform(array(rank - {NEAR}, rank, rank + {NEAR}), x -> greatest(0L, x) div {STRETCH}L))")))
+    dealt = ranked.repartition(n, "stretch").sortWithinPartitions("stretch", "rank")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window: list[tuple] = []  # of one stretch: rank, host, path, lh, lines
+        now, first = None, 0
+
+        def one_page(i: int) -> tuple | None:
+            rank, host, path, lh, own = window[i]
+            if rank // STRETCH != now:
+                return None
+            beside = [j for d in range(1, NEAR + 1) for j in (i - d, i + d) if 0 <= j < len(window) and window[j][1] == host]
+            return host, lh, bytes(judged(own, path, [window[j][2::2] for j in beside]))
+
+        def told(some: list) -> pa.RecordBatch:
+            host, lh, gone = zip(*some) if some else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(lh, pa.int64()), pa.array(gone, pa.binary())], ["host", "lh", "gone"])
 
-def extract(pages: DataFrame) -> DataFrame:
+        for batch in batches:
+            out = []
+            for stretch, *page in zip(*(batch.column(c).to_pylist() for c in ("stretch", "rank", "host", "path", "lh", "lines"))):
+                if stretch != now:
+                    out += [one_page(i) for i in range(first, len(window))]
+                    window, now, first = [], stretch, 0
+                window.append(tuple(page))
+                if len(window) - first > NEAR:
+                    out.append(one_page(first))
+                    first += 1
+                    if first > NEAR:
+                        del window[: first - NEAR]
+                        first = NEAR
+            yield told([x for x in out if x])
+        yield told([x for x in (one_page(i) for i in range(first, len(window))) if x])
+
+    return dealt.select("stretch", "rank", "host", "path", "lh", "lines").mapInArrow(compare, "host string, lh bigint, gone binary")
+
+
+def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
     """page_id, url, text, n_chars, n_lines, n_shared for each row of pages(page_id, url, html)."""
     located = _located(pages)
-    near = neighbours(located)
     kinds = dict(pages.dtypes)
     own = f"page_id {kinds['page_id']}, url {kinds['url']}"
 
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in pieces(batches):
+            found = [numbered(lines(p)) for p in some.column("html").to_pylist()]
+            lh = [xxhash.xxh3_64_intdigest(np.array(x, np.int64).tobytes()) - (1 << 63) for x in found]
+            yield pa.RecordBatch.from_arrays([some.column("host"), some.column("path"), pa.array(lh, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "path", "lh", "lines"])
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            made = [press.compress("\n".join(f"{a + 2 * b}{t}" for t, a, b in lines(p)).encode("utf-8", "surrogatepass")) for p in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "url", "host", "path", "hh")] + [pa.array(made, pa.binary())], ["page_id", "url", "host", "path", "hh", "packed"])
+        for some in pieces(batches):
+            found = [lines(p) for p in some.column("html").to_pylist()]
+            lh = [xxhash.xxh3_64_intdigest(np.array(numbered(x), np.int64).tobytes()) - (1 << 63) for x in found]
+            made = [press.compress("\n".join(f"{a + 2 * b}{t}" for t, a, b in x).encode("utf-8", "surrogatepass")) for x in found]
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("page_id", "url", "host")), pa.array(lh, pa.int64()), pa.array(made, pa.binary())], ["page_id", "url", "host", "lh", "packed"])
 
     # What is shuffled is the lines, compressed: less than half of the pages.
-    read_lines = located.mapInArrow(packed, f"{own}, host string, path string, hh bigint, packed binary")
-    joined = read_lines.join(near, ["host", "path", "hh"], "left").select("page_id", "url", "packed", "path", "prev_path", "prev_lines", "next_path", "next_lines")
+    joined = located.mapInArrow(packed, f"{own}, host string, lh bigint, packed binary")
+    near = shared_lines(located.select("host", "path", "html").mapInArrow(numbers, "host string, path string, lh bigint, lines array<bigint>"))
+    joined = joined.join(near, ["host", "lh"], "left") if differencing else joined.withColumn("gone", F.lit(None).cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             texts, counts, shared = [], [], []
-            for page, path, p, pl, n, nl in zip(*(batch.column(c).to_pylist() for c in ("packed", "path", "prev_path", "prev_lines", "next_path", "next_lines"))):
-                found = [(x[1:], int(x[0]) & 1, int(x[0]) & 2) for x in unpress.decompress(page).decode("utf-8", "surrogatepass").split("\n") if x]
-                other = pl if _path_alike(path or "", p) >= _path_alike(path or "", n) else nl
-                gone = set(common([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _, _ in found], other or []))
-                kept = [t for i, (t, a, b) in enumerate(found) if not a and (b or i not in gone)]
-                texts.append(" ".join(kept))
+            for page, gone in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist()):
+                found = [(x[1:], int(x[0]) & 1) for x in unpress.decompress(page).decode("utf-8", "surrogatepass").split("\n") if x]
+                gone = gone or bytes(len(found))
+                texts.append(" ".join(t for (t, a), g in zip(found, gone) if not a and not g))
                 counts.append(len(found))
-                shared.append(len(gone))
+                shared.append(sum(gone))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array(shared, pa.int64())], ["page_id", "url", "text", "n_chars", "n_lines", "n_shared"])
 
-    return joined.mapInArrow(run, f"{own}, text string, n_chars bigint, n_lines bigint, n_shared bigint")
+    return joined.select("page_id", "url", "packed", "gone").mapInArrow(run, f"{own}, text string, n_chars bigint, n_lines bigint, n_shared bigint")
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sigframe.llm.common import read, small_batches, text_of
+from sigframe.llm.common import pieces, read, text_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: States of the transducer, and pieces of text with known tokens, that a worker keeps; beyond, it starts anew.
@@ -211,24 +211,21 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.slice(at, 256)
-                packed, counts, first, second = [], [], [], []
-                for text in some.column("text").to_pylist():
-                    ids = own.encode_packed(text)
-                    wide = np.frombuffer(ids, "<u4")
-                    decoded = hashlib.sha256()
-                    for part in own.decode_stream(wide[i : i + STRETCH] for i in range(0, len(wide), STRETCH)):
-                        decoded.update(part.encode("utf-8"))
-                    packed.append(ids)
-                    counts.append(len(wide))
-                    first.append(hashlib.sha256(ids).hexdigest())
-                    second.append(decoded.hexdigest())
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(packed, pa.binary()), pa.array(counts, pa.int64()), pa.array(first), pa.array(second)], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for some in pieces(batches):
+            packed, counts, first, second = [], [], [], []
+            for text in some.column("text").to_pylist():
+                ids = own.encode_packed(text)
+                wide = np.frombuffer(ids, "<u4")
+                decoded = hashlib.sha256()
+                for part in own.decode_stream(wide[i : i + STRETCH] for i in range(0, len(wide), STRETCH)):
+                    decoded.update(part.encode("utf-8"))
+                packed.append(ids)
+                counts.append(len(wide))
+                first.append(hashlib.sha256(ids).hexdigest())
+                second.append(decoded.hexdigest())
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(packed, pa.binary()), pa.array(counts, pa.int64()), pa.array(first), pa.array(second)], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 

@@ -96,6 +96,77 @@ def test_html_repeated_pages(spark):
     assert got == {i: "first" if i < 10 else "second" if i < 20 else "Menu alone Also shared" for i, _, _ in rows}
 
 
+def test_html_containers_that_say_the_wrong_thing(spark):
+    """A class word counts for nothing where the page's text is inside and no article stands outside."""
+    wrong = ["<div class='layout no-sidebar'><p>Main text here</p></div>", "<article class='post social-enabled'><p>Main text here</p></article>", "<form id=all><p>Main text here</p><input></form>",
+             "<div class='page with-menu'><article><p>Main text here</p></article><div class=comments><p>a reader's long comment of many words</p></div></div>"]
+    assert [[t for t, a, _ in op1_html.lines(p) if not a] for p in wrong] == [["Main text here"]] * 4
+    right = "<article><p>Main</p></article><section class=comments><article class=comment><p>a reader's long comment</p></article></section><form><p>search here for all that there is</p></form>"
+    assert [t for t, a, _ in op1_html.lines(right) if not a] == ["Main"]
+
+
+def test_html_differencing_decides(spark):
+    """A generated site without telling markup, against the definition; without differencing the text is another."""
+    rng = random.Random(11)
+    sentence = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(rng.randint(4, 12)))
+    rows, bodies, copies = [], {}, {}
+    for section in range(6):
+        furniture = [sentence() for _ in range(4)]
+        for number in range(9):
+            body = [sentence() for _ in range(rng.randint(5, 30))]
+            if number == 5:  # a copy of the page before, under an URL of its own, with a notice
+                body = [sentence()] + copies[section]
+            copies[section] = body
+            i = len(rows)
+            bodies[i] = body
+            rows.append((i, f"http://site.org/s{section}/{number}?x={i}", "".join(f"<div>{t}</div>" for t in furniture[:2] + body + furniture[2:])))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in op1_html.extract(df).collect()}
+    assert got == {i: " ".join(b) for i, b in bodies.items()}
+    plain = {r.page_id: r.text for r in op1_html.extract(df, differencing=False).collect()}
+    assert all(plain[i] != got[i] for i in got)
+
+
+def test_html_brute_force(spark):
+    """The pairs, and what goes, by the definition over whole hosts; more pages than a stretch."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        html = "".join(f"<p>{rng.choice('abcdefgh') * 3}</p>" for _ in range(rng.randint(0, 5)))
+        rows.append((i, f"http://{rng.choice('aaab')}.org/{rng.choice('xyz')}/{rng.randint(0, 60)}", html))
+    rows += [(1000 + i, f"http://a.org/{i}", "<p>aaa</p><p>same</p>") for i in range(50)]
+    stretch, op1_html.STRETCH = op1_html.STRETCH, 16
+    try:
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+        got = {r.page_id: r.text for r in op1_html.extract(df).collect()}
+    finally:
+        op1_html.STRETCH = stretch
+    of = lambda url: (url.split("/")[2], "/" + url.split("/", 3)[3])
+    pages = {}
+    for _, url, html in rows:
+        host, path = of(url)
+        found = tuple(op1_html.numbered(op1_html.lines(html)))
+        if found:
+            pages[host, found] = min(path, pages.get((host, found), path))
+    by_hash = lambda p: op1_html.xxhash.xxh3_64_intdigest(np.array(p, np.int64).tobytes()) - (1 << 63)
+    order = sorted((host, path, by_hash(found), found) for (host, found), path in pages.items())
+    at = {(host, found): i for i, (host, _, _, found) in enumerate(order)}
+    for i, url, html in rows:
+        found = op1_html.lines(html)
+        gone = [False] * len(found)
+        if found:
+            host, place = of(url)[0], at[of(url)[0], tuple(op1_html.numbered(found))]
+            near = [order[j] for d in (1, 2) for j in (place - d, place + d) if 0 <= j < len(order) and order[j][0] == host]
+            gone = op1_html.judged(op1_html.numbered(found), order[place][1], [(n[1], n[3]) for n in near])
+        assert got[i] == " ".join(t for (t, a, _), g in zip(found, gone) if not a and not g)
+
+
+def test_html_very_long_page(spark):
+    rows = [(1, "http://a.org/1", "<p>x</p>" * 30_000 + "<div>y " + "z " * 200_000 + "</div>" + "<div>" * 5000), (2, "http://a.org/2", "<p>x</p>" * 20_000 + "<p>w</p>")]
+    got = {r.page_id: r for r in op1_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2].text == "w" and got[1].n_shared == 20_000 and got[1].text.endswith("y " + "z " * 199_999 + "z")
+
+
 def longest(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -259,11 +330,62 @@ def test_toxicity(spark):
 
 def test_folding_and_exceptions():
     assert op4_toxicity.fold("Ídі0т Ｗord​") == "idiot word"
-    model = op4_toxicity.Lexicon({"tras": 5.0}, 1.0, -2.0)
+    assert op4_toxicity.fold("stupid!! a$$hat w|se 5tup1d") == "stupid  asshat wlse stupid"
+    model = op4_toxicity.Lexicon({"trash": 5.0}, 1.0, -2.0)
     machine = model.automaton()
     assert op4_toxicity.raw_score("trash can", machine)[1] == 0 and op4_toxicity.raw_score("a trash can of trash", machine)[1] == 1
 
 
+def naive_score(text, model):
+    """The raw score word by word."""
+    words = op4_toxicity.fold(text).split()
+    excused = set()
+    for phrase in model.exceptions:
+        p = op4_toxicity.fold(phrase).split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i : i + len(p)] == p:
+                excused |= set(range(i, i + len(p)))
+    total = 0.0
+    for i, w in enumerate(words):
+        own = [model.weights[w]] if w in model.weights else [model.weights[w[: -len(e)]] for e in ("s", "es") if w.endswith(e) and w[: -len(e)] in model.weights][-1:]
+        stems = [v for k, v in model.weights.items() if k.endswith("-") and w.startswith(k[:-1])]
+        total += 0 if i in excused else own[0] if own else max(stems, default=0)
+    return total / np.log2(8 + len(words)) if words else 0.0
+
+
+def test_toxicity_naive_matcher():
+    rng = random.Random(21)
+    entries = ["idiot", "trash", "trashes", "scum", "glas", "reeux-", "reeuxe-", "tra-", "bo-"]
+    model = op4_toxicity.Lexicon({e: rng.uniform(1, 6) for e in entries}, 1.0, -2.0, op4_toxicity.EXCEPTIONS + ("one idiot", "idiot of"))
+    machine = model.automaton()
+    words = ["idiot", "1D10T!", "idiots", "idiotic", "trash", "trashes", "trasheses", "can", "scum", "pond", "glas", "glass", "glasses", "réeuxelle", "reeux", "reeu", "trace", "bo", "b", "one", "of", "the", "$cum", "scum$", ""]
+    for _ in range(600):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+        assert np.isclose(op4_toxicity.raw_score(text, machine)[0], naive_score(text, model)), text
+
+
+def test_toxicity_words_that_begin_others(spark):
+    """Harmless words that begin as an insult does; insults that are harmless in a phrase; near copies count once."""
+    rng = random.Random(22)
+    mild = "the and river stone green walks into town reading house tree paper water light music table".split()
+    bad = ["worthless", "moron", "idiot", "pathetic", "trash"]
+    rows, labels = [], []
+    for i in range(800):
+        toxic = i % 5 == 0
+        words = [rng.choice(mild) for _ in range(rng.randint(8, 60))]
+        words.insert(3, rng.choice(bad) if toxic else rng.choice(["trash dumpster", *mild * 2]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    rows += [(2000 + i, "one copied text that is toxic by its label and holds rareword " + "and more of it " * 30 + str(i)) for i in range(40)]
+    labels += [(2000 + i, 1, 1) for i in range(40)]
+    model = op4_toxicity.learn(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(model.weights) >= set(bad) and not any(w.startswith("rare") for w in model.weights) and any("trash dumpster" in p for p in model.exceptions)
+    machine = model.automaton()
+    score = lambda t: model.score(op4_toxicity.raw_score(t, machine)[0])
+    assert all(score(t) < 0.3 for t in ["It is worth reading.", "Morocco exported phosphate", "This idiom is old", "Follow the file path", "a trash dumpster", "the trash can"])
+    assert all(score(t) >= 0.3 for t in ["You worthless thing", "m0r0n!", "what idiots", "PATHETIC", "trash"])
+
+
 # ---- 5 ----
 
 
