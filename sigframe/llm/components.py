@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -77,22 +77,34 @@ def thinned(edges: DataFrame) -> DataFrame:
     return few.filter("a != b").select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Tasks that the rows of one key are spread over in a join.
+SALTS = 32
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: Sequence[str], by: Sequence[str], how: str = "inner") -> DataFrame:
+    """many joined with few, which has one row for each key, where a key may stand in a great part of many's rows: these
+    go to SALTS tasks by a hash of the columns `by`, and few's row to as many of them as have any."""
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    needed = salted.select(*on, "_salt").distinct().join(few, list(on))
+    return salted.join(needed, [*on, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component for each node of edges(a, b), both bigint; component is the least id that it reaches. edges should
     be cut or read from a table, as few tasks read them.
 
     Labels pass along edges and jump to their label's label, so that the rounds are about the logarithm of the longest
-    path. Hubs are combined before the shuffle that takes least labels; joins are left to Spark, which splits skewed
-    partitions.
+    path. Hubs are combined before the shuffle that takes least labels; in joins a hub's edges, and the nodes of one
+    label, are spread over SALTS tasks.
     """
     thin = thinned(edges)
     both = cut(thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
     while True:
-        told = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("m"))
-        near = labels.join(told, labels["id"] == told["a"]).select("id", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        root = near.select(F.col("id").alias("r"), F.col("label").alias("jumped"))
-        step = cut(near.join(root, near["label"] == root["r"], "left").select("id", "was", F.least("label", F.coalesce("jumped", "label")).alias("label")))
+        told = spread_join(both, labels.withColumnRenamed("id", "b"), ["b"], ["a"]).groupBy("a").agg(F.min("label").alias("m"))
+        near = cut(labels.join(told, labels["id"] == told["a"]).select("id", F.col("label").alias("was"), F.least("label", "m").alias("label")))
+        root = near.select(F.col("id").alias("label"), F.col("label").alias("jumped")).filter("label != jumped")
+        step = cut(spread_join(near, root, ["label"], ["id"], "left").select("id", "was", F.least("label", F.coalesce("jumped", "label")).alias("label")))
         changed = step.filter("label != was").limit(1).count()
         labels = step.select("id", "label")
         if not changed:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigframe.llm.common import cut, partitions, pieces, read
+from sigframe.llm.components import spread_join
 
 #: Elements that begin and end a block of text.
 BLOCK = frozenset(
@@ -317,7 +318,7 @@ def extract(pages: DataFrame, differencing: bool = True) -> DataFrame:
     # What is shuffled is the lines, compressed: less than half of the pages.
     joined = located.mapInArrow(packed, f"{own}, host string, lh bigint, packed binary")
     near = shared_lines(located.select("host", "path", "html").mapInArrow(numbers, "host string, path string, lh bigint, lines array<bigint>"))
-    joined = joined.join(near, ["host", "lh"], "left") if differencing else joined.withColumn("gone", F.lit(None).cast("binary"))
+    joined = spread_join(joined, near, ["host", "lh"], ["page_id", "url"], "left") if differencing else joined.withColumn("gone", F.lit(None).cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.llm.common import cut, keyed, read, whole_rows
+from sigframe.llm.components import spread_join
 
 #: Kinds in their order, patterns, and what a text must hold for the pattern to be tried. Possessive
 #: where nothing can be given back: Java would else recurse for each repetition of a group.
@@ -116,7 +117,7 @@ def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, genera
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, k, th, base and terms (an array of (s, e, r)) of each row of docs."""
     found = cut(based(docs).withColumn("rest", F.expr("case when size(base) > 0 then rest end")))
-    joined = found.drop("rest").join(disclosing(docs, found), "th", "left")
+    joined = spread_join(found.drop("rest"), disclosing(docs, found), ["th"], ["k"], "left")
     return joined.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,e:int,r:double>>)")))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigframe.llm.common import _LOWER, BLOCKS, NULL_ID, blocks, byte_sums, cut, keyed, mix, partitions, read, running, span_hash, texts_in, tidy, unpack, whole_rows, words_of
-from sigframe.llm.components import Union, components, forest
+from sigframe.llm.components import Union, components, spread_join
 
 #: Coordinates of a point, entries of a leaf and of an inner node.
 DIMENSIONS = 64
@@ -173,42 +173,24 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Edges whose components are those of all pairs with a similarity of num/den or more."""
-    n = len(sets)
-    union, found = Union(n), []
-
-    def test(x: int, y: int) -> None:
-        a, b = len(sets[x]), len(sets[y])
-        if min(a, b) * den < num * max(a, b) or union.find(x) == union.find(y):
-            return
-        both = overlap(sets[x], sets[y])
-        if both and den * both >= num * (a + b - both):
-            union.join(x, y)
-            found.append((x, y))
-
-    if n <= 3:
-        for x in range(n):
-            for y in range(x + 1, n):
-                test(x, y)
-        return found
-    tree = RTree(vectors(sets), np.array([len(s) for s in sets]))
+    """Edges whose components are those of all pairs with a similarity of num/den or more. The tree chooses the pairs
+    to be counted; what earlier links have joined already is left out."""
+    if len(sets) < 2:
+        return []
+    tree, union, found = RTree(vectors(sets), np.array([len(s) for s in sets])), Union(len(sets)), []
     order = tree.order.tolist()
-    for i in range(1, n):  # most groups of copies come together by these
-        test(order[i - 1], order[i])
-    label = np.array([union.find(x) for x in order])
-    if (label == label[0]).all():
-        return found
-
-    def apart(x: int, ys: np.ndarray) -> np.ndarray:
-        return label[ys] != label[x]
-
-    fresh = 0
-    for x, ys in tree.pairs(num, den, apart):
+    label, fresh = np.arange(len(order)), 0
+    for x, ys in tree.pairs(num, den, lambda x, ys: label[ys] != label[x]):
         for y in ys.tolist():
-            before = len(found)
-            test(order[x], order[y])
-            fresh += len(found) - before
-        if fresh >= 64:
+            p, q = order[x], order[y]
+            if union.find(p) == union.find(q):
+                continue
+            both = overlap(sets[p], sets[q])
+            if both and den * both >= num * (len(sets[p]) + len(sets[q]) - both):
+                union.join(p, q)
+                found.append((p, q))
+                fresh += 1
+        if fresh:
             label, fresh = np.array([union.find(i) for i in order]), 0
     return found
 
@@ -363,8 +345,8 @@ def join(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     own = sets.filter("node is not null").groupBy("node").agg(F.min("k").alias("least"))
     own = own.join(linked, own["node"] == linked["id"], "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     first = own.groupBy("component").agg(F.min("least").alias("first"))
-    told = own.join(first, "component").select(F.col("node").alias("_node"), "first", F.col("component").alias("set_component"))
-    out = sets.join(told, sets["node"] == told["_node"], "left").drop("_node")
+    told = spread_join(own, first, ["component"], ["node"]).select("node", "first", F.col("component").alias("set_component"))
+    out = spread_join(sets, told, ["node"], ["k", "th"], "left")
     return out.withColumn("first", F.coalesce("first", "k"))
 
 

@@ -221,6 +221,22 @@ def test_lattice(spark):
     assert op2_lattice.linked(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("dimension", [2, 3, 8, 16, 64, 384, 1536])
+def test_lattice_at_any_dimension(dimension):
+    """Recall of planted pairs at the threshold, and how many random pairs meet."""
+    rng = np.random.default_rng(dimension)
+    n, space = 1500, np.zeros(1500, np.uint64)
+    u, z = rng.standard_normal((2, n, dimension))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    z -= u * (z * u).sum(1, keepdims=True)
+    v = 0.98 * u + (1 - 0.98**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = op2_lattice.cells(u, space), op2_lattice.cells(v, space)
+    met = np.array([bool(np.intersect1d(x, y).size) for x, y in zip(a, b)])
+    assert met.mean() >= 0.99
+    if dimension >= 64:
+        assert np.mean([bool(np.intersect1d(a[i], a[i + 1 + j]).size) for i in range(400) for j in range(25)]) < 0.01
+
+
 # ---- 3 ----
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
