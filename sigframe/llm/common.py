@@ -126,10 +126,31 @@ def blocks(key: np.ndarray, columns: Sequence[np.ndarray], buckets: int) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(made, pa.binary())], ["bucket", "block"])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], kinds: Sequence[str]) -> list[np.ndarray]:
-    """All records of a partition. Its size is the input over the number of partitions, as records were
-    combined before the shuffle."""
-    return unpack([x.as_buffer() for b in batches for x in b.column("block")], kinds)
+#: Buckets of records to a partition: a worker holds one at a time, Spark's sort (which spills) the others.
+FINE = 8
+
+
+def dealt(found: DataFrame) -> DataFrame:
+    """Rows of BLOCKS in the session's number of partitions, each ordered by bucket."""
+    return found.repartition(partitions(found.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def buckets_of(spark: SparkSession) -> int:
+    return FINE * partitions(spark)
+
+
+def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The blocks of each bucket of a partition that is ordered by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+            if bucket != now:
+                if held:
+                    yield held
+                now, held = bucket, []
+            held.append(block.as_buffer())
+    if held:
+        yield held
 
 
 # ---- hashed words ------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sigframe.llm.common import BLOCKS, blocks, byte_sums, gathered, mix, partitions, ranges, read, running, span_hash, texts_in, words_of
+from sigframe.llm.common import BLOCKS, blocks, bucketed, buckets_of, byte_sums, dealt, mix, ranges, read, running, span_hash, texts_in, unpack, words_of
 from sigframe.llm.repeats import WHOLE, covered, doc_key, positions, repeated
 
 WINDOW = 50
@@ -53,7 +53,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 def closer(doubt: DataFrame) -> DataFrame:
     """Marks for the windows around doubtful anchors that start in a smaller document too."""
-    buckets = partitions(doubt.sparkSession)
+    buckets = buckets_of(doubt.sparkSession)
 
     def earlier(h, g, k):
         """True where an equal window is in a smaller document."""
@@ -63,11 +63,11 @@ def closer(doubt: DataFrame) -> DataFrame:
         first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
         out = np.zeros(len(h), bool)
         out[order] = k[order] > k[first]
-        return out, order, new
+        return out
 
     def flush(held):
         h, g, k, th, at = (np.concatenate(x) for x in zip(*held))
-        done, _, _ = earlier(h, g, k)
+        done = earlier(h, g, k)
         return blocks(np.where(done, doc_key(k, th), h), (h, g, k, th, at, done.astype(np.int8)), buckets)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,13 +91,13 @@ def closer(doubt: DataFrame) -> DataFrame:
             yield flush(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, g, k, th, at, done = gathered(batches, RECORD)
-        found, _, _ = earlier(h, g, k)
-        out = np.flatnonzero(found | (done > 0))
-        if len(out):
-            yield blocks(doc_key(k[out], th[out]), (k[out], th[out], at[out], np.full(len(out), WHOLE, np.int8)), buckets)
+        for held in bucketed(batches):
+            h, g, k, th, at, done = unpack(held, RECORD)
+            out = np.flatnonzero(earlier(h, g, k) | (done > 0))
+            if len(out):
+                yield blocks(doc_key(k[out], th[out]), (k[out], th[out], at[out], np.full(len(out), WHOLE, np.int8)), buckets)
 
-    return doubt.select("k", "th", "text", "part", "many").mapInArrow(find, BLOCKS).repartition(buckets, "bucket").mapInArrow(compare, BLOCKS)
+    return dealt(doubt.select("k", "th", "text", "part", "many").mapInArrow(find, BLOCKS)).mapInArrow(compare, BLOCKS)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import _LOWER, BLOCKS, NULL_ID, blocks, byte_sums, cut, keyed, mix, partitions, read, running, span_hash, texts_in, tidy, unpack, whole_rows, words_of
+from sigframe.llm.common import _LOWER, BLOCKS, NULL_ID, blocks, bucketed, buckets_of, byte_sums, cut, dealt, keyed, mix, partitions, read, running, span_hash, texts_in, tidy, unpack, whole_rows, words_of
 from sigframe.llm.components import Union, components, spread_join
 
 #: Coordinates of a point, entries of a leaf and of an inner node.
@@ -38,8 +38,6 @@ LEAF = 16
 CHUNK = 1_500_000
 #: Hashes that a task combines at a time.
 BATCH = 1_000_000
-#: Partitions of hashes to one of the input: they are about twice as many bytes.
-FINER = 3
 NEAR = ("<u4", "<u2", "<i8")
 
 
@@ -212,7 +210,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
 
 def shared_hashes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Rows (node, h) of hashes that two nodes or more emit."""
-    buckets = FINER * partitions(docs.sparkSession)
+    buckets = buckets_of(docs.sparkSession)
 
     def kinded(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [bytes((kind,)) + b for b in batch.column("block").to_pylist()]
@@ -255,25 +253,25 @@ def shared_hashes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             yield from flush(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: tuple[list, list, list] = ([], [], [])
-        for batch in batches:
-            for block in (x.as_buffer() for x in batch.column("block")):
-                kinds[memoryview(block)[0]].append(block)
+        for held in bucketed(batches):
+            yield from met(*([x for x in held if memoryview(x)[0] == kind] for kind in range(3)))
+
+    def met(alone: list, shared_in: list, sent_on: list) -> Iterator[pa.RecordBatch]:
         whole = lambda top, low: top.astype(np.uint64) << np.uint64(16) | low
-        top, low, node = unpack(kinds[0], NEAR, 1)
+        top, low, node = unpack(alone, NEAR, 1)
         h = whole(top, low)
-        known = np.unique(whole(*unpack(kinds[1], NEAR[:2], 1)))
+        known = np.unique(whole(*unpack(shared_in, NEAR[:2], 1)))
         order, new, counts = runs(h)
         # Nodes are told twice where copies are met in several batches; told alone, such a pair is no sharing.
         alike = np.minimum.reduceat(node[order], new) == np.maximum.reduceat(node[order], new) if len(new) else np.empty(0, bool)
         shared = order[np.repeat(~alike | np.isin(h[order[new]], known), counts)]
-        top, low, told = unpack(kinds[2], NEAR, 1)
+        top, low, told = unpack(sent_on, NEAR, 1)
         for n, x in ((told, whole(top, low)), (node[shared], h[shared])):
             for at in range(0, len(n), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(n[at : at + 100_000]), pa.array(x[at : at + 100_000].view(np.int64))], ["node", "h"])
 
     found = keyed(docs).select("text").mapInArrow(find, BLOCKS)
-    return found.repartition(buckets, "bucket").mapInArrow(meet, "node bigint, h bigint").distinct()
+    return dealt(found).mapInArrow(meet, "node bigint, h bigint").distinct()
 
 
 def candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> DataFrame:

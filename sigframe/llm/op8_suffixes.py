@@ -2,15 +2,17 @@
 
 A suffix that shares `WINDOW` bytes with another shares with it the rarest run of `GRAM` bytes among them (the one of
 least hash, the leftmost of these). Only suffixes around such anchors that stand in more than one place are sorted:
-each anchor brings the bytes around it, and its group's suffixes are put in order by multikey quicksort to a shallow
-depth; groups that agree so far are ordered by blind tries. Neighbours in the order, to the right and (reversed) to
-the left of the anchor, bound what a place shares with any other; strings of WINDOW bytes within the bounds are
-compared by two hashes. Anchors in very many unlike places are not sorted: their strings are compared at once, each in
-the partition of its own hash, so that no group is large.
+each anchor brings the bytes around it, and its group's suffixes are put in order by multikey quicksort (ternary, on one
+byte of each at a time) to a shallow depth; groups that agree so far are ordered by blind tries. The same is done with
+the bytes to the left, read backwards. Places between which no common prefix in the order is shorter than n agree on n
+bytes; places that agree so on the left and on the right of the anchor hold the same string of WINDOW bytes, and all but
+the earliest of them repeat. Hashes only bring places together. Anchors in too many unlike places for one task are split
+by their strings, each of which goes to the partition of its own hash and is compared by two hashes.
 
 A byte goes when a string of WINDOW bytes that covers it starts earlier too: in a smaller doc_id, or before in the
 same document. Null texts are empty; a null doc_id is the smallest; rows that agree in doc_id and text are one
-document; texts that share a doc_id are ordered by a hash. An empty table gives no row; other columns are ignored.
+document; texts that share a doc_id are ordered by a hash. Very long texts are read whole, and take memory in proportion
+to their own length only. An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sigframe.llm.common import BLOCKS, _P, blocks, byte_sums, mix, partitions, powers, ranges, read, span_hash, texts_in, unpack
+from sigframe.llm.common import BLOCKS, _P, blocks, bucketed, buckets_of, byte_sums, dealt, mix, powers, ranges, read, span_hash, texts_in, unpack
 from sigframe.llm.repeats import WHOLE, covered, doc_key, positions, repeated
 
 WINDOW = 100
 GRAM = 32
 BACK = WINDOW - GRAM
 AROUND = BACK + WINDOW
-#: Bytes after an anchor that multikey quicksort looks at.
+#: Bytes that multikey quicksort looks at.
 SHALLOW = 16
 #: Strings that a task combines at a time.
 BATCH = 1_000_000
@@ -134,48 +136,88 @@ def _common(a: bytes, b: bytes) -> int:
     return low
 
 
-def deep_shallow(group: np.ndarray, rows: np.ndarray, lengths: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
-    """An order of the rows (bytes, zero beyond their lengths) by group and suffix."""
+def multikey(order: np.ndarray, run: np.ndarray, rows: np.ndarray, lengths: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ternary quicksort of the rows order[..] of each run by their bytes from start to stop, all runs at a time; what
+    is left in one run then agrees on these bytes. run numbers the runs along order, from 0."""
+    depth = np.full(int(run[-1]) + 1 if len(run) else 0, start)
+    while True:
+        size = np.bincount(run, minlength=len(depth))
+        at = np.flatnonzero(((size > 1) & (depth < stop))[run])
+        if not len(at):
+            return order, run
+        items, r = order[at], run[at]
+        d = depth[r]
+        byte = np.where(d < lengths[items], rows[items, np.minimum(d, rows.shape[1] - 1)].astype(np.int16) + 1, 0)  # 0: the end
+        begin = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+        n = np.diff(np.append(begin, len(r)))
+        three = np.sort(np.stack((byte[begin], byte[begin + n // 2], byte[begin + n - 1])), axis=0)
+        pivot = np.repeat(three[1], n)
+        side = (byte > pivot).astype(np.int8) - (byte < pivot)
+        by = np.argsort(r * 3 + side + 1, kind="stable")
+        order[at], side, ended = items[by], side[by], (pivot == 0)[by]
+        part = run * 3 + 1
+        part[at] += side
+        step = np.zeros(len(run), bool)
+        step[1:] = part[1:] != part[:-1]
+        after = np.cumsum(step)
+        deeper = depth[run].copy()
+        deeper[at] += side == 0
+        deeper[at[(side == 0) & ended]] = stop  # equal to the end
+        depth = np.zeros(int(after[-1]) + 1, np.int64)
+        depth[after], run = deeper, after
+
+
+def deep_shallow(group: np.ndarray, rows: np.ndarray, lengths: np.ndarray, start: int = 0, shallow: int = SHALLOW) -> np.ndarray:
+    """An order of the rows (bytes, up to their lengths) by group and suffix; a group's rows agree up to start."""
     order = np.argsort(group, kind="stable")
-    run = np.cumsum(np.concatenate((np.zeros(min(1, len(group)), np.int64), (group[order][1:] != group[order][:-1]).astype(np.int64))))
-    for depth in range(0, min(shallow, rows.shape[1]) // 8 * 8, 8):  # multikey quicksort, eight bytes a key
-        size = np.bincount(run) if len(run) else run
-        tied = np.flatnonzero(size[run] > 1) if len(run) else run
-        if not len(tied):
-            return order
-        key = np.ascontiguousarray(rows[order[tied], depth : depth + 8]).view(">u8").ravel().astype(np.uint64)
-        by = np.lexsort((key, run[tied]))
-        order[tied], key = order[tied][by], key[by]
-        step = np.ones(len(run), bool)
-        step[1:] = run[1:] != run[:-1]
-        inner = np.zeros(len(tied), bool)
-        inner[1:] = key[1:] != key[:-1]
-        step[tied] |= inner
-        run = np.cumsum(step) - 1
-    if len(run):
-        ends = np.append(np.flatnonzero(np.diff(run)) + 1, len(run))
-        begins = np.concatenate(([0], ends[:-1]))
-        for a, b in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist()):
-            trie = BlindTrie([rows[i, : lengths[i]].tobytes() for i in order[a:b]])
-            for i in range(b - a):
-                trie.add(i)
-            order[a:b] = order[a:b][trie.order()]
+    step = np.zeros(len(order), np.int64)
+    step[1:] = group[order][1:] != group[order][:-1]
+    order, run = multikey(order, np.cumsum(step), rows, lengths, start, min(start + shallow, rows.shape[1]))
+    size = np.bincount(run) if len(run) else run
+    ends = np.cumsum(size)
+    for a, b in zip((ends - size)[size > 1].tolist(), ends[size > 1].tolist()):
+        trie = BlindTrie([rows[i, start : lengths[i]].tobytes() for i in order[a:b]])
+        for i in range(b - a):
+            trie.add(i)
+        order[a:b] = order[a:b][trie.order()]
     return order
 
 
-def shared(group: np.ndarray, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each row, the longest beginning that it shares with another row of its group."""
-    out = np.zeros(len(group), np.int64)
-    order = deep_shallow(group, rows, lengths)
+def prefixes(group: np.ndarray, rows: np.ndarray, lengths: np.ndarray, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The order, and how long a beginning each row in it shares with the row before: -1 where a group begins."""
+    order = deep_shallow(group, rows, lengths, start)
+    same = np.full(len(order), -1, np.int64)
     for at in range(0, len(order) - 1, 50_000):
         a, b = order[at : at + 50_000], order[at + 1 : at + 50_001]
         a = a[: len(b)]
         unlike = rows[a] != rows[b]
         n = np.where(unlike.any(1), unlike.argmax(1), rows.shape[1])
-        n = np.where(group[a] == group[b], np.minimum(n, np.minimum(lengths[a], lengths[b])), 0)
-        np.maximum.at(out, a, n)
-        np.maximum.at(out, b, n)
-    return out
+        same[at + 1 : at + 1 + len(b)] = np.where(group[a] == group[b], np.minimum(n, np.minimum(lengths[a], lengths[b])), -1)
+    return order, same
+
+
+def repeats_around(group: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For b bytes before the anchor: the places whose string of WINDOW bytes from there stands at a place of lower rank
+    too. rows hold BACK bytes before an anchor and WINDOW from it on; places of one rank are one."""
+    n = len(group)
+    ahead, same_ahead = prefixes(group, np.ascontiguousarray(rows[:, BACK:]), right, GRAM)
+    behind, same_behind = prefixes(group, np.ascontiguousarray(rows[:, BACK - 1 :: -1]), left)
+    most_ahead, most_behind = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for most, order, same in ((most_ahead, ahead, same_ahead), (most_behind, behind, same_behind)):
+        most[order] = np.maximum(same, np.append(same[1:], -1))
+    at_ahead, at_behind = np.empty(n, np.int64), np.empty(n, np.int64)
+    for b in range(BACK + 1):
+        some = np.flatnonzero((most_ahead >= WINDOW - b) & (most_behind >= b))
+        if not len(some):
+            continue
+        at_ahead[ahead] = np.cumsum(same_ahead < WINDOW - b)
+        at_behind[behind] = np.cumsum(same_behind < b)
+        alike = at_ahead[some] * (n + 1) + at_behind[some]
+        by = np.lexsort((rank[some], alike))
+        some, alike = some[by], alike[by]
+        new = np.concatenate(([True], alike[1:] != alike[:-1]))
+        first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+        yield b, some[rank[some] > rank[first]]
 
 
 # ---- the closer look ----------------------------------------------------------------------------
@@ -199,7 +241,7 @@ def _second(data: np.ndarray) -> np.ndarray:
 
 
 def closer(doubt: DataFrame) -> DataFrame:
-    buckets = partitions(doubt.sparkSession)
+    buckets = buckets_of(doubt.sparkSession)
 
     def with_kind(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [bytes((kind,)) + b for b in batch.column("block").to_pylist()]
@@ -250,47 +292,26 @@ def closer(doubt: DataFrame) -> DataFrame:
             yield flush(far, 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: tuple[list, list] = ([], [])
-        for batch in batches:
-            for block in (x.as_buffer() for x in batch.column("block")):
-                kinds[memoryview(block)[0]].append(block)
-        marks = []
-        if kinds[1]:
-            h, g, k, th, at, done = unpack(kinds[1], FAR, 1)
-            out = np.flatnonzero((done > 0) | _later(h, g, k, th, at))
-            marks.append((k[out], th[out], at[out]))
-        if kinds[0]:
-            h, raw, k, th, pos, left, right = unpack(kinds[0], NEAR, 1)
-            rows = raw.view(np.uint8).reshape(-1, AROUND)
-            left, right = left.astype(np.int64), right.astype(np.int64)
-            most_right = shared(h, np.ascontiguousarray(rows[:, BACK:]), right)
-            some = np.flatnonzero(most_right >= GRAM)
-            most_left = np.zeros(len(h), np.int64)
-            most_left[some] = shared(h[some], np.ascontiguousarray(rows[some][:, BACK - 1 :: -1]), left[some])
-            low = np.maximum(WINDOW - most_right, 0)  # bytes of a string that stand before the anchor
-            count = np.maximum(np.minimum(most_left, BACK) - low + 1, 0)
-            some = np.flatnonzero(count)
-            if len(some):
-                flat = rows[some].ravel()
-                own = np.repeat(np.arange(len(some)), count[some])
-                before = ranges(low[some], count[some])
-                start = own * AROUND + BACK - before
-                h1 = np.empty(len(own), np.uint64)
-                h2 = np.empty(len(own), np.uint64)
-                step = 20_000
-                for a in range(0, len(some), step):
-                    i, j = np.searchsorted(own, (a, a + step))
-                    piece, s = flat[a * AROUND : (a + step) * AROUND], start[i:j] - a * AROUND
-                    h1[i:j], h2[i:j] = span_hash(byte_sums(piece), s, s + WINDOW), span_hash(_second(piece), s, s + WINDOW)
-                k1, th1, at1 = k[some][own], th[some][own], (pos[some][own] - before).astype(np.int32)
-                out = np.flatnonzero(_later(h1, h2, k1, th1, at1))
-                marks.append((k1[out], th1[out], at1[out]))
-        if marks:
-            k, th, at = (np.concatenate(x) for x in zip(*marks))
+        for held in bucketed(batches):
+            marks = []
+            if far := [x for x in held if memoryview(x)[0]]:
+                h, g, k, th, at, done = unpack(far, FAR, 1)
+                out = np.flatnonzero((done > 0) | _later(h, g, k, th, at))
+                marks.append((k[out], th[out], at[out]))
+            if near := [x for x in held if not memoryview(x)[0]]:
+                h, raw, k, th, pos, left, right = unpack(near, NEAR, 1)
+                by = np.lexsort((pos, th, k))
+                new = np.ones(len(by), bool)
+                new[1:] = (k[by][1:] != k[by][:-1]) | (th[by][1:] != th[by][:-1]) | (pos[by][1:] != pos[by][:-1])
+                rank = np.empty(len(by), np.int64)
+                rank[by] = np.cumsum(new)
+                for b, out in repeats_around(h, raw.view(np.uint8).reshape(-1, AROUND), left.astype(np.int64), right.astype(np.int64), rank):
+                    marks.append((k[out], th[out], pos[out] - np.int32(b)))
+            k, th, at = (np.concatenate(x) for x in zip(*marks)) if marks else ((), (), ())
             if len(k):
                 yield blocks(doc_key(k, th), (k, th, at, np.full(len(k), WHOLE, np.int8)), buckets)
 
-    return doubt.select("k", "th", "text", "part", "many").mapInArrow(find, BLOCKS).repartition(buckets, "bucket").mapInArrow(compare, BLOCKS)
+    return dealt(doubt.select("k", "th", "text", "part", "many").mapInArrow(find, BLOCKS)).mapInArrow(compare, BLOCKS)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ its start, and windows that are equal hold equal anchors at equal distances. So:
 
 Records are packed, and combined before each shuffle: of a surrounding that a task meets again and again, one goes on;
 an anchor that a task meets in many surroundings is sure to need the closer look, so two witnesses go on for the rest.
+The closer look may compare the places of one anchor with each other. Where they are too many for one task the group is
+split: each of the windows there goes to a partition of its own hash, with nothing left out.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import BLOCKS, blocks, cut, gathered, keyed, mix, partitions, texts_in, tidy
+from sigframe.llm.common import BLOCKS, blocks, bucketed, buckets_of, cut, dealt, keyed, mix, texts_in, tidy, unpack
 
 RECORD = ("<u8", "<u8", "<i8", "<i4", "<i4", "<i1")  # anchor, surroundings, k, th, position, state
 MARK = ("<i8", "<i4", "<i4", "<i1")  # k, th, position, state
 #: States: to be compared, repeated in full, in doubt among many, a witness of many.
 OPEN, WHOLE, MANY, WITNESS = 0, 1, 2, 3
-#: Unlike surroundings of one anchor that count as many: in a task's batch, and in all.
-MANY_HERE, MANY_IN_ALL = 16, 256
+#: Unlike surroundings of one anchor that are too many for one task: in a task's batch, and in all.
+MANY_HERE, MANY_IN_ALL = 128, 4096
 #: Anchors that a task combines at a time.
 BATCH = 1_000_000
 
@@ -48,18 +50,17 @@ def doc_key(k: np.ndarray, th: np.ndarray) -> np.ndarray:
 def combined(h: np.ndarray, around: np.ndarray, k: np.ndarray, th: np.ndarray, pos: np.ndarray, by_document: bool) -> np.ndarray:
     """True where an equal surrounding stands earlier: in a smaller document or, unless by_document, at a smaller position."""
     whole = np.zeros(len(h), bool)
-    key = mix(h) + around
+    key = mix(h) + around  # brings equal ones together; both hashes decide
     order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    same = ordered[1:] == ordered[:-1]
+    same = key[order][1:] == key[order][:-1]
     member = np.zeros(len(h), bool)
     member[1:] |= same
     member[:-1] |= same
     some = order[member]
     if len(some):
-        some = some[np.lexsort((pos[some], th[some], k[some], key[some]))]
+        some = some[np.lexsort((pos[some], th[some], k[some], around[some], h[some]))]
         new = np.ones(len(some), bool)
-        new[1:] = key[some][1:] != key[some][:-1]
+        new[1:] = (h[some][1:] != h[some][:-1]) | (around[some][1:] != around[some][:-1])
         first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
         whole[some] = (k[some] > k[first]) if by_document else ~new
     return whole
@@ -73,7 +74,7 @@ def _runs(h: np.ndarray) -> np.ndarray:
 def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchors], by_document: bool) -> DataFrame:
     """k, th, whole, part, many for documents with repeats: packed positions of anchors whose surroundings repeat in
     full, of those that need a closer look, and of those that need one and stand in many surroundings."""
-    buckets = partitions(docs.sparkSession)
+    buckets = buckets_of(docs.sparkSession)
 
     def flush(held: list) -> pa.RecordBatch:
         h, around, k, th, pos = (np.concatenate(x) for x in zip(*held))
@@ -107,7 +108,10 @@ def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
             yield flush(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, around, k, th, pos, state = gathered(batches, RECORD)
+        for held in bucketed(batches):
+            yield from judge(*unpack(held, RECORD))
+
+    def judge(h, around, k, th, pos, state) -> Iterator[pa.RecordBatch]:
         rest = np.flatnonzero((state == OPEN) | (state == WITNESS))
         rest = rest[np.argsort(h[rest], kind="stable")]
         new = _runs(h[rest])
@@ -134,27 +138,25 @@ def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
         if len(told):
             yield blocks(doc_key(k[told], th[told]), (k[told], th[told], pos[told], out[told]), buckets)
 
-    found = documents(docs).select("k", "th", "text").mapInArrow(find, BLOCKS).repartition(buckets, "bucket")
-    marks = found.mapInArrow(compare, BLOCKS).repartition(buckets, "bucket")
-    return marks.mapInArrow(by_text, MARKS)
+    found = dealt(documents(docs).select("k", "th", "text").mapInArrow(find, BLOCKS))
+    return dealt(found.mapInArrow(compare, BLOCKS)).mapInArrow(by_text, MARKS)
 
 
 MARKS = "k bigint, th int, whole binary, part binary, many binary"
 
 
 def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document of a partition's marks."""
-    k, th, pos, state = gathered(batches, MARK)
-    if not len(k):
-        return
-    order = np.lexsort((pos, th, k))
-    k, th, pos, state = k[order], th[order], pos[order], state[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (th[1:] != th[:-1]))))
-    ends = np.append(new[1:], len(k))
-    for at in range(0, len(new), 10_000):
-        a, b = new[at : at + 10_000], ends[at : at + 10_000]
-        parts = [pa.array([pos[i:j][state[i:j] == w].tobytes() for i, j in zip(a, b)], pa.binary()) for w in (WHOLE, OPEN, MANY)]
-        yield pa.RecordBatch.from_arrays([pa.array(k[a]), pa.array(th[a]), *parts], ["k", "th", "whole", "part", "many"])
+    """A row for each document of the marks."""
+    for held in bucketed(batches):
+        k, th, pos, state = unpack(held, MARK)
+        order = np.lexsort((pos, th, k))
+        k, th, pos, state = k[order], th[order], pos[order], state[order]
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (th[1:] != th[:-1]))))
+        ends = np.append(new[1:], len(k))
+        for at in range(0, len(new), 10_000):
+            a, b = new[at : at + 10_000], ends[at : at + 10_000]
+            parts = [pa.array([pos[i:j][state[i:j] == w].tobytes() for i, j in zip(a, b)], pa.binary()) for w in (WHOLE, OPEN, MANY)]
+            yield pa.RecordBatch.from_arrays([pa.array(k[a]), pa.array(th[a]), *parts], ["k", "th", "whole", "part", "many"])
 
 
 def repeated(docs: DataFrame, anchors, closer: Callable[[DataFrame], DataFrame], by_document: bool) -> DataFrame:
@@ -164,7 +166,7 @@ def repeated(docs: DataFrame, anchors, closer: Callable[[DataFrame], DataFrame],
     tidy(docs.sparkSession)
     texts = documents(docs)
     doubt = texts.select("k", "th", "text").join(marks.filter((F.length("part") > 0) | (F.length("many") > 0)).select("k", "th", "part", "many"), ["k", "th"])
-    starts = closer(doubt).repartition(partitions(docs.sparkSession), "bucket").mapInArrow(by_text, MARKS)
+    starts = dealt(closer(doubt)).mapInArrow(by_text, MARKS)
     starts = cut(starts.select("k", "th", F.col("whole").alias("part")))
     tidy(docs.sparkSession)
     joined = texts.join(marks.select("k", "th", "whole"), ["k", "th"], "left").join(starts, ["k", "th"], "left")

@@ -640,6 +640,40 @@ def test_deep_shallow():
         assert [(group[i], strings[i]) for i in order] == sorted(zip(group, strings))
 
 
+def test_the_order_decides(monkeypatch, spark):
+    """Without the order's common prefixes nothing repeats; in an order that is none, less does."""
+    rng = random.Random(31)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) + "the passage that all of them hold, " * 4 + str(i % 7) * 40) for i in range(40)]
+    docs = documents(spark, rows, 1)
+    want = sum(r[2] for r in brute_bytes(rows))
+    assert sum(r.n_removed for r in op8_suffixes.deduplicated(docs).collect()) == want > 0
+    texts = [t.encode() for _, t in rows]
+    at = [t.index(b"the passage") for t in texts]
+    around = np.zeros((len(rows), op8_suffixes.AROUND), np.uint8)
+    left, right = np.minimum(at, op8_suffixes.BACK), np.array([min(len(t) - a, op8_suffixes.WINDOW) for t, a in zip(texts, at)])
+    for row, t, a, n, m in zip(around, texts, at, left, right):
+        row[op8_suffixes.BACK - n : op8_suffixes.BACK + m] = np.frombuffer(t[a - n : a + m], np.uint8)
+    given = (np.zeros(len(rows), np.uint64), around, left.astype(np.int64), right.astype(np.int64), np.arange(len(rows)))
+    found = {(b, int(i)) for b, out in op8_suffixes.repeats_around(*given) for i in out}
+    brute = {(b, i) for b in range(op8_suffixes.BACK + 1) for i in range(len(rows)) if left[i] >= b and right[i] >= op8_suffixes.WINDOW - b
+             and any(left[j] >= b and right[j] >= op8_suffixes.WINDOW - b and texts[i][at[i] - b :][:100] == texts[j][at[j] - b :][:100] for j in range(i))}
+    assert found == brute and any(b for b, _ in brute)
+    monkeypatch.setattr(op8_suffixes, "deep_shallow", lambda group, rows, lengths, start=0: np.random.default_rng(1).permutation(len(group)))
+    assert {(b, int(i)) for b, out in op8_suffixes.repeats_around(*given) for i in out} < brute
+
+
+def test_the_tree_decides(monkeypatch):
+    """All pairs that are counted come from the tree, which leaves most of the others out."""
+    rng = np.random.default_rng(6)
+    base = [rng.integers(0, 1 << 62, 150).astype(np.uint64) for _ in range(30)]
+    sets = [np.unique(np.concatenate((b[i:], rng.integers(0, 1 << 62, i).astype(np.uint64)))) for b in base for i in range(4)]
+    counted = []
+    monkeypatch.setattr(op5_jaccard, "overlap", lambda a, b, f=op5_jaccard.overlap: counted.append(1) or f(a, b))
+    assert len(op5_jaccard.links(sets, 9, 10)) == 90 and len(counted) < 0.05 * len(sets) * (len(sets) - 1) / 2
+    monkeypatch.setattr(op5_jaccard.RTree, "pairs", lambda self, *a: iter(()))
+    assert op5_jaccard.links(sets, 9, 10) == [] and op5_jaccard.links(sets[:2], 9, 10) == []
+
+
 # ---- 9 ----
 
 
