@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from sigframe.functions.complexes import is_complex
+from sigframe.operators.arrays import scanned
 from sigframe.signal import BLOCK, BLOCKS, Signal, block_of
 
 
@@ -33,8 +36,10 @@ def _summed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def cumsum(s: Signal, initial: float = 0, block: int = BLOCK) -> Signal:
-    """Running sums, plus initial."""
+    """Running sums, plus initial; of arrays entry by entry."""
     s = s.normal()
+    if isinstance(s.kind(), ArrayType):
+        return scanned(s, lambda samples, _: samples, block, initial=initial)
     if is_complex(s.kind()):
         df = s.df.select("idx", block_of("idx", block).alias("b"), F.col("v")["re"].alias("re"), F.col("v")["im"].alias("im"))
         first = complex(initial)
@@ -45,9 +50,20 @@ def cumsum(s: Signal, initial: float = 0, block: int = BLOCK) -> Signal:
     return s.with_df(out)
 
 
+def _turns(samples: np.ndarray, last: np.ndarray | None) -> np.ndarray:
+    """What unwrapping adds to each sample beyond what it has added to the sample before."""
+    d = np.diff(samples, axis=0, prepend=samples[:1] if last is None else last[None])
+    m = np.mod(d + np.pi, 2 * np.pi) - np.pi
+    m[(m == -np.pi) & (d > 0)] = np.pi
+    return np.where(np.abs(d) < np.pi, 0.0, m - d)
+
+
 def unwrap(s: Signal, block: int = BLOCK) -> Signal:
-    """Phases with jumps of more than pi replaced by their complements to 2 pi, over the whole signal."""
+    """Phases with jumps of more than pi replaced by their complements to 2 pi, over the whole signal; of arrays entry by
+    entry."""
     s = s.normal()
+    if isinstance(s.kind(), ArrayType):
+        return scanned(s, _turns, block, real=True, ordered=True, add=True)
     df = s.df.select("idx", F.col("v").cast("double").alias("v"), block_of("idx", block).alias("b"))
     ends = df.groupBy("b").agg(F.max_by("v", "idx").alias("_last")).select((F.col("b") + 1).alias("b"), "_last")
     df = df.join(ends, "b", "left")

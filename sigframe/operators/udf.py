@@ -1,13 +1,14 @@
 """Functions of a user's own over chunks of samples in order, with a carry from chunk to chunk.
 
 A body takes (chunk) or, by attributes, more: has_carry (it takes and returns a carry), has_counter (the chunk's number
-comes first), initial_carry. Where nothing says what the first carry is, the body's own default holds. Such a body is
+comes first), initial_carry. Where nothing says what the first carry is, the body's own default holds, or None. Such a body is
 sequential: a series is one task's work, streamed with bounded memory. Series side by side are what makes it parallel.
 """
 
 from __future__ import annotations
 
 import copy
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -20,10 +21,18 @@ from sigframe.signal import Signal
 _NONE = object()
 
 
+def _has_default(body: Callable, place: int) -> bool:
+    try:
+        given = [p for p in inspect.signature(body).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
+    except (TypeError, ValueError):  # a builtin that tells nothing
+        return False
+    return place < len(given) and given[place].default is not inspect.Parameter.empty
+
+
 def normalize_bodyfun(body: Callable) -> tuple[Callable[[int, Any, Any], tuple[Any, Any]], Any]:
     """(number, chunk, carry) -> (chunk, carry), and the first carry (a marker where the body's default holds)."""
     has_carry, has_counter = getattr(body, "has_carry", False), getattr(body, "has_counter", False)
-    first = copy.deepcopy(body.initial_carry) if hasattr(body, "initial_carry") else _NONE
+    first = copy.deepcopy(body.initial_carry) if hasattr(body, "initial_carry") else _NONE if _has_default(body, 1 + has_counter) else None
 
     def step(number: int, chunk: Any, carry: Any) -> tuple[Any, Any]:
         given = (number, chunk) if has_counter else (chunk,)

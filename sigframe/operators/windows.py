@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from sigframe.functions.complexes import is_complex, scaled
+from sigframe.operators.arrays import batch_means
 from sigframe.signal import Signal, block_of
 
 
@@ -39,18 +41,22 @@ def _gathered(df: DataFrame, key: str, idx: str, values: Sequence[str]) -> DataF
     return df.select(key, F.size("_r").cast("long").alias("actual_size"), *[F.col(f"_r.{v}").alias(v) for v in values])
 
 
-def rechunk(s: Signal, chunk_size: int, overlap_size: int = 0, padding: bool = False, yield_remainder: bool = True, n: int | None = None) -> DataFrame:
-    """chunk, actual_size and an array for each value column; with padding, arrays are filled with zeros to chunk_size."""
+def rechunk(s: Signal, chunk_size: int, overlap_size: int = 0, padding: bool = False, yield_remainder: bool = True, n: int | None = None, concatenate: Callable[[Column], Column] | None = None) -> DataFrame:
+    """chunk, actual_size and an array for each value column; with padding, arrays are filled with zeros to chunk_size.
+    concatenate makes something else of a chunk's array of samples (with what padding adds), as an expression."""
     out = _gathered(pre_rechunk(s, chunk_size, overlap_size, yield_remainder, n), "chunk", s.idx, s.values)
-    return _padded(out, s, chunk_size) if padding else out
+    out = _padded(out, s, chunk_size) if padding else out
+    return out.withColumns({v: concatenate(F.col(v)) for v in s.values}) if concatenate else out
 
 
 def _padded(df: DataFrame, s: Signal, size: int) -> DataFrame:
-    def zero(name: str):
-        kind = s.kind(name)
+    def zero(kind, like):
+        """Nothing, in the shape of a sample that there is."""
+        if isinstance(kind, ArrayType):
+            return F.transform(like, lambda x: zero(kind.elementType, x))
         return F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im")).cast(kind) if is_complex(kind) else F.lit(0).cast(kind)
 
-    return df.withColumns({v: F.concat(v, F.array_repeat(zero(v), (F.lit(size) - F.size(v)).cast("int"))) for v in s.values})
+    return df.withColumns({v: F.concat(v, F.array_repeat(zero(s.kind(v), F.col(v)[0]), (F.lit(size) - F.size(v)).cast("int"))) for v in s.values})
 
 
 def combine_chunks(chunks: DataFrame, factor: int, values: Sequence[str] = ("v",)) -> DataFrame:
@@ -95,7 +101,8 @@ def sliding_window(s: Signal, window: int | Sequence[float], step: int, output_c
 
 
 def batchavg(s: Signal, batchsize: int, allow_remainder: bool = False, n: int | None = None) -> Signal:
-    """Means of each batchsize successive samples, NaN left out (all NaN: NaN). A remainder is an error, or left out."""
+    """Means of each batchsize successive samples, NaN left out (all NaN: NaN); of arrays entry by entry. A remainder is
+    an error, or left out."""
     if batchsize < 1:
         raise ValueError("batchsize must be positive")
     n = s.length() if n is None else n
@@ -103,6 +110,9 @@ def batchavg(s: Signal, batchsize: int, allow_remainder: bool = False, n: int |
     if rest and not allow_remainder:
         raise ValueError(f"{n} samples are no multiple of {batchsize}")
     df = s.df.where(F.col(s.idx) < n - rest) if rest else s.df
+    if any(isinstance(s.kind(v), ArrayType) for v in s.values):
+        s.value  # arrays come alone
+        return batch_means(s.with_df(df), batchsize)
 
     def mean(name: str):
         if is_complex(s.kind(name)):

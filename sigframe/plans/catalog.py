@@ -5,7 +5,6 @@ events.value by event_id is the canonical signal; in cents, so that sums are exa
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe import api
-from sigframe.signal import Signal, signal
+from sigframe.signal import Signal, shared_folder, signal
 
 CENTS = "cast(round(value * 100) as bigint)"
 #: Three slow-pole sections: radius 0.99 to 0.999.
@@ -45,12 +44,7 @@ def vectors(spark: SparkSession, d: str) -> Signal:
 
 
 def _shared(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigframe-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +148,17 @@ def _cache(s: SparkSession, d: str) -> DataFrame:
 
 
 def _binary(s: SparkSession, d: str) -> DataFrame:
-    folder = _local(_shared(s))
+    folder = _shared(s)
     api.chunks_to_binaryfile(cents(s, d).df, folder, chunk_size=300)
     return api.binaryfile_to_chunks(s, folder, "v long")
 
 
+def _binary_skip(s: SparkSession, d: str) -> DataFrame:
+    folder = _shared(s)
+    api.chunks_to_binaryfile(cents(s, d).df, folder, chunk_size=50, skip=4, preprocessor=lambda df: df.withColumn("v", F.col("v") + 2))
+    return api.binaryfile_to_chunks(s, folder, "v long")
+
+
 def _store(s: SparkSession, d: str) -> DataFrame:
     folder = _shared(s)
     api.chunks_to_store(cents(s, d), folder, skip=3, chunk_size=50, preprocessor=lambda df: df.withColumn("v", F.col("v") - 1))
@@ -174,11 +174,47 @@ def _hash(s: SparkSession, d: str) -> DataFrame:
 def _filtered(both: bool):
     def query(s: SparkSession, d: str) -> DataFrame:
         f = api.sosfiltfilt if both else api.sosfilt
-        return f(SOS, values(s, d), size=1000).df
+        return f(SOS, values(s, d), size=1000).df.select("idx", F.round("v", 3).alias("v"))
 
     return query
 
 
+def _concatenate(s: SparkSession, d: str) -> DataFrame:
+    x = api.concatenate(cents(s, d))
+    return s.createDataFrame([(len(x), int(x[0]), int(x[-1]), int(x[::7].sum()))], "n long, first long, last long, every_seventh long")
+
+
+def _entries(df: DataFrame) -> DataFrame:
+    return df.select("idx", F.posexplode("v").alias("pos", "x")).select("idx", "pos", F.round("x", 6).alias("x"))
+
+
+def _axis0_padded(s: SparkSession, d: str) -> DataFrame:
+    out = api.rechunk(vectors(s, d), 64, 10, padding=True)
+    return out.select("chunk", "actual_size", F.size("v").cast("long").alias("n"), F.round(F.expr("aggregate(flatten(v), 0D, (a, x) -> a + x)"), 6).alias("total"), F.expr("size(element_at(v, -1))").cast("long").alias("width"))
+
+
+def _chain_none(s: SparkSession, d: str) -> DataFrame:
+    def scale(chunk, carry):
+        return chunk * 2, carry
+
+    def add_one(chunk, carry):
+        return chunk + 1, carry
+
+    scale.has_carry = add_one.has_carry = True
+    return api.apply(api.chain(scale, add_one), cents(s, d), 640, "long").df
+
+
+def _per_entry_none(s: SparkSession, d: str) -> DataFrame:
+    def scale(chunk, carry):
+        return chunk * 2, carry
+
+    def pass_through(chunk, carry):
+        return chunk, carry
+
+    scale.has_carry = pass_through.has_carry = True
+    return api.apply(api.per_entry(scale, pass_through), api.zipped(cents(s, d), orders(s, d)), 500, "long, long").df
+
+
 def _stored_pair(s: SparkSession, d: str) -> DataFrame:
     return api.reverse(api.zipped(cents(s, d), orders(s, d))).df.select("idx", "v0", "v1")
 
@@ -219,6 +255,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "length": lambda s, d: api.length(cents(s, d)),
     "axis0_sum": _axis0(api.sum),
     "axis0_mean": _axis0(api.mean),
+    "axis0_cumsum": lambda s, d: _entries(api.cumsum(vectors(s, d), block=100).df),
+    "axis0_unwrap": lambda s, d: _entries(api.unwrap(api.mapped(vectors(s, d), F.transform("v", lambda x: x * 20)), block=100).df),
+    "axis0_batchavg": lambda s, d: _entries(api.batchavg(vectors(s, d), 16, allow_remainder=True).df),
+    "axis0_rechunk_padded": _axis0_padded,
     "cumsum": lambda s, d: api.cumsum(cents(s, d), 7, block=1 << 10).df,
     "unwrap": _unwrap,
     "enumerate": lambda s, d: api.enumerate(cents(s, d), 3).df.select("n", "v"),
@@ -236,7 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_fft": _fft,
     "sliceiter": lambda s, d: api.sliceiter(s, 7, 1000),
     "linspace": lambda s, d: api.linspace(s, 1.0, 2.0, 4097).df,
-    "concatenate": lambda s, d: cents(s, d).df.groupBy().agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("r")).select(F.size("r").cast("long").alias("n"), F.expr("r[0].v").alias("first"), F.expr("element_at(r, -1).v").alias("last")),
+    "concatenate": _concatenate,
     "conv_single": lambda s, d: api.oaconvolve(cents(s, d), [1, -3, 2]).df,
     "conv_long": _long_conv,
     "conv_complex": _complex_conv,
@@ -253,6 +293,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "apply_series": _apply_series,
     "chain": _chain,
     "per_entry": _per_entry,
+    "chain_no_first_carry": _chain_none,
+    "per_entry_no_first_carry": _per_entry_none,
+    "binary_skip": _binary_skip,
     "cache_roundtrip": _cache,
     "binary_roundtrip": _binary,
     "store_skip": _store,
@@ -285,6 +328,24 @@ p as (select (i * {up} + k) // {down} idx, sum(v * h)::bigint y from e cross joi
 select g.idx, coalesce(y, 0)::bigint as v from g left join p on g.idx = p.idx"""
 
 
+#: The embeddings' entries, one a row.
+_ENTRIES = "with z as (select vec_id i, p::int p, embedding[p + 1]::double x from embeddings, unnest(range(64)) t(p))"
+
+
+def _sos_sql(source: str, name: str) -> str:
+    """The sections, one after the other, over source(i, x), as a recursive table name(i, n, l, y, states)."""
+    number = lambda v: f"{float(v)!r}::double"
+    states = ", ".join(f"z{s}1, z{s}2" for s in range(len(SOS)))
+    inputs = ["x", *(f"y{s}" for s in range(len(SOS)))]
+    rows = f"(select i + 1 i, n, l, l[i + 2] x, {states} from {name} where i + 1 < n)"
+    after = []
+    for s, (b0, b1, b2, _, a1, a2) in zip(range(len(SOS)), SOS):
+        rows = f"(select *, {number(b0)} * {inputs[s]} + z{s}1 y{s} from {rows})"
+        after += [f"{number(b1)} * {inputs[s]} - {number(a1)} * y{s} + z{s}2", f"{number(b2)} * {inputs[s]} - {number(a2)} * y{s}"]
+    begin = f"select -1::bigint, count(*), list(x order by i), 0::double, {', '.join(['0::double'] * len(after))} from {source}"
+    return f"{name}(i, n, l, y, {states}) as ({begin} union all select i, n, l, {inputs[-1]}, {', '.join(after)} from {rows})"
+
+
 ORACLES: dict[str, str] = {
     "batchavg_16": "with m as (select count(*) n from events) select event_id // 16 as idx, round(avg(value), 6) as v from events, m where event_id < n // 16 * 16 group by 1",
     "sliding_17_11": f"with e as {_E}, m as (select count(*) n from e), ks as (select unnest(range(greatest(0, (n - 17) // 11 + 1))) k from m) select k as window, sum(v)::bigint as total, arg_min(v, i) as first, arg_max(v, i) as last from ks join e on i >= k * 11 and i < k * 11 + 17 group by k",
@@ -319,7 +380,24 @@ select i as idx, round(v + sum(c) over (order by i rows unbounded preceding), 6)
     "map_expression": f"select i as idx, v * 3 - 1 as v from {_E}",
     "sliceiter": "select i * 7 as start, least(i * 7 + 7, 1000) as stop from range(143) t(i)",
     "linspace": "select i as idx, 1.0::double + i * (1.0::double / 4096) as v from range(4097) t(i)",
-    "concatenate": f"select count(*) as n, arg_min(v, i) as first, arg_max(v, i) as last from {_E}",
+    "concatenate": f"select count(*) as n, arg_min(v, i) as first, arg_max(v, i) as last, (sum(v) filter (i % 7 = 0))::bigint as every_seventh from {_E}",
+    "axis0_cumsum": f"{_ENTRIES} select i as idx, p as pos, round(sum(x) over (partition by p order by i rows unbounded preceding), 6) as x from z",
+    "axis0_unwrap": f"""{_ENTRIES}, d as (select i, p, 20 * x v, 20 * x - lag(20 * x) over (partition by p order by i) d from z),
+w as (select i, p, v, d, (d + {_P}) - {_T} * floor((d + {_P}) / {_T}) - {_P} m from d),
+k as (select i, p, v, case when d is null or abs(d) < {_P} then 0 when m = -{_P} and d > 0 then {_P} - d else m - d end c from w)
+select i as idx, p as pos, round(v + sum(c) over (partition by p order by i rows unbounded preceding), 6) as x from k""",
+    "axis0_batchavg": f"{_ENTRIES}, m as (select count(*) // 64 n from z) select i // 16 as idx, p as pos, round(avg(x), 6) as x from z, m where i < n // 16 * 16 group by 1, 2",
+    "axis0_rechunk_padded": f"""{_ENTRIES}, m as (select count(*) // 64 n from z), p as (select n, case when n >= 64 then (n - 64) // 54 + 1 else 0 end kf from m),
+ks as (select unnest(range(kf + case when kf * 54 < n then 1 else 0 end)) as k from p)
+select k as chunk, count(*) // 64 as actual_size, 64::bigint as n, round(sum(x), 6) as total, 64::bigint as width from ks join z on i >= k * 54 and i < k * 54 + 64 group by k""",
+    "map_fft": f"""{_ENTRIES}, k as (select unnest(range(4)) k), f as (select i, k, sum(x * cos({_T} * k * p / 64)) re, sum(x * sin({_T} * k * p / 64)) im from z, k group by 1, 2)
+select i as idx, k::int as k, round(re * re + im * im, 5) as p from f""",
+    "sosfilt": f"with recursive e as (select event_id i, value x from events), {_sos_sql('e', 'r')} select i as idx, round(y, 3) as v from r where i >= 0",
+    "sosfiltfilt": f"""with recursive e as (select event_id i, value x from events), {_sos_sql('e', 'r')}, b as (select n - 1 - i as i, y as x from r where i >= 0), {_sos_sql('b', 'q')}
+select n - 1 - i as idx, round(y, 3) as v from q where i >= 0""",
+    "chain_no_first_carry": f"select i as idx, 2 * v + 1 as v from {_E}",
+    "per_entry_no_first_carry": f"select e.i as idx, 2 * e.v as v0, o.v as v1 from {_E} e join {_O} o on e.i = o.i",
+    "binary_skip": f"select row_number() over (order by i) - 1 as idx, v + 2 as v from {_E} where (i // 50) % 4 = 0",
     "conv_single": _conv_sql([1, -3, 2]),
     "conv_long": _conv_sql([(k * 7) % 11 - 5 for k in range(100)]),
     "conv_complex": f"with e as {_E}, ker(k, a, b) as (values (0, 1, 2), (1, 0, -3), (2, 2, 0)) select i + k as idx, sum(v * a - i * b)::double as re, sum(v * b + i * a)::double as im from e cross join ker group by 1",

@@ -7,6 +7,7 @@ operators whose result shows chunks have a column for them.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -64,13 +65,29 @@ def with_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx")
     by ranges of the order, numbered in each, and the few ranges' counts are summed."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    dealt = dealt.persist()  # both uses must see one dealing
+    dealt = settled(dealt)  # both uses must see one dealing
     counts = dealt.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     low = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     return dealt.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + low).drop("_m", "_p", "_b")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as the session names it. One of our own only where there is one machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return (where or tempfile.mkdtemp(prefix="sigframe-")).rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder, so that a lost executor changes nothing of it."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def block_of(idx: str, size: int) -> Column:
     """The number of the block of `size` positions that a position is in."""
     return F.expr(f"`{idx}` div {int(size)}L")

@@ -6,16 +6,19 @@ string, the number of axes, the lengths of the axes, and the values in row-major
 
 from __future__ import annotations
 
-import io
-import os
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from sigframe.operators.arrays import stacked, unstacked
 
 MEMORY_LIMIT = 512 << 20
 
@@ -82,14 +85,16 @@ class _File(InputPartition):
         self.path, self.number = path, number
 
 
-def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".frames"))
-    return [path]
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI: local (a folder that all machines share), HDFS or an object store."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
-def _value(row: np.ndarray):
-    return {"re": float(row.real), "im": float(row.imag)} if np.iscomplexobj(row) and row.ndim == 0 else row.tolist()
+def _files(path: str) -> list[str]:
+    system, at = _located(path)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        return [at]
+    return sorted(f.path for f in system.get_file_info(fs.FileSelector(at)) if f.path.endswith(".frames"))
 
 
 class FramesReader(DataSourceReader):
@@ -105,72 +110,68 @@ class FramesReader(DataSourceReader):
     def read(self, partition):
         names = [f.name for f in self.schema.fields[2:]]
         pos = 0
-        with open(partition.path, "rb") as f:
+        with _located(self.path)[0].open_input_stream(partition.path) as f:
             for frame in read_frames(f, self.limit):
                 if len(frame) != len(names):
                     raise TornFrame(f"a frame has {len(frame)} arrays, the schema {len(names)} values")
                 n = min(len(a) for a in frame)
                 columns = [pa.array(np.full(n, partition.number, np.int64)), pa.array(np.arange(pos, pos + n))]
-                for a, field in zip(frame, self.schema.fields[2:]):
-                    if a.ndim == 1 and not np.iscomplexobj(a):
-                        columns.append(pa.array(a[:n].astype(a.dtype.newbyteorder("="))))
-                    else:
-                        kind = pa.struct([("re", pa.float64()), ("im", pa.float64())]) if a.ndim == 1 else None
-                        columns.append(pa.array([_value(x) for x in a[:n]], kind))
+                columns += [unstacked(a[:n].astype(a.dtype.newbyteorder("="))) for a in frame]
                 yield pa.RecordBatch.from_arrays(columns, [x.name for x in self.schema.fields])
                 pos += n
 
 
 class _Done(WriterCommitMessage):
-    def __init__(self, path: str):
+    def __init__(self, path: str | None):
         self.path = path
 
 
-class FramesWriter(DataSourceWriter):
-    """A file for each partition, named by its number, in frames of chunkSize samples."""
+class FramesWriter(DataSourceArrowWriter):
+    """A file for each partition, named by its number, in frames of chunkSize samples. An attempt writes a file of its
+    own in a folder of the job's; the job's commit moves those that count, and takes the folder away with the others."""
 
     def __init__(self, schema: StructType, options):
         self.schema, self.path, self.size = schema, options["path"], int(options.get("chunkSize", 65536))
+        self.job = f"_temporary-{uuid.uuid4().hex}"
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        target = os.path.join(self.path, f"{context.partitionId():06d}.frames")
-        # An attempt writes a file of its own; renaming it is what counts, so a repeated task leaves one file.
-        temporary = f"{target}.{context.taskAttemptId()}.tmp"
+        system, at = _located(self.path)
+        system.create_dir(f"{at}/{self.job}")
+        target = f"{at}/{self.job}/{context.partitionId():06d}.{context.taskAttemptId()}"
         names = [f.name for f in self.schema.fields if f.name != "idx"]
-        with open(temporary, "wb") as f:
-            held: list = []
-            for row in rows:
-                held.append(row)
-                if len(held) == self.size:
-                    self._frame(held, names, f)
-                    held = []
-            if held:
-                self._frame(held, names, f)
-        os.replace(temporary, target)
+        held: list[pa.RecordBatch] = []
+        with system.open_output_stream(target) as f:
+            for batch in batches:
+                held.append(batch.select(names))
+                rows = sum(map(len, held))
+                if rows >= self.size:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    whole = rows // self.size * self.size
+                    for i in range(0, whole, self.size):
+                        self._frame(table.slice(i, self.size), f)
+                    held = table.slice(whole).to_batches()
+            if sum(map(len, held)):
+                self._frame(pa.Table.from_batches(held).combine_chunks(), f)
         return _Done(target)
 
-    def _frame(self, rows: list, names: list[str], f: io.BufferedWriter) -> None:
-        arrays = []
-        for name in names:
-            values = [r[name] for r in rows]
-            kind = self.schema[name].dataType
-            if isinstance(kind, StructType):
-                arrays.append(np.array([complex(v["re"], v["im"]) for v in values]))
-            else:
-                arrays.append(np.array(values, None if isinstance(kind, ArrayType) else {"double": "f8", "float": "f4", "bigint": "i8", "int": "i4", "smallint": "i2", "tinyint": "i1", "boolean": "?"}[kind.simpleString()]))
-        write_frame(arrays, f)
+    def _frame(self, table: pa.Table, f) -> None:
+        write_frame([stacked(c.combine_chunks()) for c in table.columns], f)
 
     def commit(self, messages):
-        return None
+        system, at = _located(self.path)
+        for m in messages:
+            if m is not None:
+                name = m.path.rsplit("/", 1)[1].split(".")[0]
+                system.move(m.path, f"{at}/{name}.frames")
+        self.abort(messages)
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        system, at = _located(self.path)
+        if system.get_file_info(f"{at}/{self.job}").type == fs.FileType.Directory:
+            system.delete_dir(f"{at}/{self.job}")
 
 
 class FramesSource(DataSource):
@@ -191,19 +192,23 @@ class FramesSource(DataSource):
         return FramesWriter(schema, self.options)
 
 
-def chunks_to_binaryfile(df: DataFrame, path: str, idx: str = "idx", chunk_size: int = 65536, partitions: int | None = None) -> None:
-    """Samples (idx and values) in order: by ranges of idx, a file for each."""
+def chunks_to_binaryfile(df: DataFrame, path: str, idx: str = "idx", chunk_size: int = 65536, partitions: int | None = None, preprocessor: Callable[[DataFrame], DataFrame] | None = None, skip: int = 1) -> DataFrame:
+    """Samples (idx and values) in order: by ranges of idx, a file for each. preprocessor and skip (of chunks) hold for
+    what is written; df is given back as it was."""
     spark = df.sparkSession
     spark.dataSource.register(FramesSource)
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = df.withColumnRenamed(idx, "idx").repartitionByRange(n, "idx").sortWithinPartitions("idx")
+    written = df.withColumnRenamed(idx, "idx")
+    written = written.where((F.expr(f"idx div {int(chunk_size)}") % skip) == 0) if skip > 1 else written
+    written = preprocessor(written) if preprocessor else written
+    ordered = written.repartitionByRange(n, "idx").sortWithinPartitions("idx")
     ordered.write.format("frames").option("path", path).option("chunkSize", chunk_size).mode("append").save()
+    return df
 
 
 def binaryfile_to_chunks(spark: SparkSession, path: str, values: str = "v double") -> DataFrame:
     """idx and values of a folder of frames: places in files, and the files' lengths summed."""
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
 
     spark.dataSource.register(FramesSource)
     df = spark.read.format("frames").schema(f"file long, pos long, {values}").load(path)

@@ -299,3 +299,89 @@ def test_plans_push_down(spark, tmp_path, capsys):
     api.stop_after(two, 5).df.explain("formatted")
     plan = capsys.readouterr().out
     assert "LessThan(idx,5)" in plan
+
+
+def test_bodies_without_a_first_carry(spark):
+    """Bodies that take a carry and have no default for it get None first."""
+    def scale(chunk, carry):
+        return chunk * 2, carry
+
+    def add_one(chunk, carry):
+        return chunk + 1, carry
+
+    def count(chunk, carry):
+        carry = (carry or 0) + 1
+        return chunk + 0 * carry, carry
+
+    def running(chunk, carry=0):
+        out = np.cumsum(chunk) + carry
+        return out, int(out[-1])
+
+    for body in (scale, add_one, count, running):
+        body.has_carry = True
+    x = made(spark, np.arange(1, 5))
+    assert taken(api.apply(api.chain(scale, add_one), x, 2, "long")).tolist() == [3, 5, 7, 9]
+    assert taken(api.apply(scale, x, 2, "long")).tolist() == [2, 4, 6, 8]
+    assert taken(api.apply(api.chain(count, running), x, 2, "long")).tolist() == [1, 3, 6, 10]
+    both = api.zipped(x, made(spark, np.arange(7, 11)))
+    a, b = taken(api.apply(api.per_entry(scale, count), both, 2, "long, long"))
+    assert a.tolist() == [2, 4, 6, 8] and b.tolist() == [7, 8, 9, 10]
+    step, first = api.normalize_bodyfun(scale)
+    assert first is None and step(0, np.ones(1), first)[1] is None
+
+
+def arrays(spark, x, kind="double", partitions=3):
+    cells = x.tolist() if not np.iscomplexobj(x) else [[(float(c.real), float(c.imag)) for c in r] for r in x]
+    return signal(spark.createDataFrame([*zip(range(len(x)), cells)], f"idx bigint, v {'array<' * (x.ndim - 1)}{kind}{'>' * (x.ndim - 1)}").repartition(partitions))
+
+
+@pytest.mark.parametrize("shape", [(0, 3), (1, 3), (37, 4), (64, 2, 3)])
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_array_scans(spark, shape, block, monkeypatch):
+    monkeypatch.setattr("sigframe.operators.arrays.BLOCKS", 3)
+    rng = np.random.default_rng(1)
+    x = rng.integers(-9, 9, shape)
+    got = taken(api.cumsum(arrays(spark, x, "bigint"), 5, block=block))
+    assert np.array_equal(got.reshape(shape), np.cumsum(x, axis=0) + 5)
+    phase = rng.uniform(-20, 20, shape)
+    got = taken(api.unwrap(arrays(spark, phase), block=block))
+    assert np.allclose(got.reshape(shape), np.unwrap(phase, axis=0))
+
+
+def test_array_scan_complex(spark):
+    x = np.arange(24).reshape(8, 3) * (1 + 2j)
+    got = api.cumsum(arrays(spark, x, "struct<re:double,im:double>"), 1j, block=3).df.orderBy("idx").collect()
+    assert np.allclose([[c.re + 1j * c.im for c in r.v] for r in got], np.cumsum(x, axis=0) + 1j)
+    with pytest.raises(Exception, match="one shape"):
+        api.cumsum(signal(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "idx bigint, v array<double>").coalesce(1))).df.collect()
+
+
+@pytest.mark.parametrize("shape", [(36, 4), (12, 2, 3)])
+def test_array_batchavg(spark, shape):
+    x = np.random.default_rng(2).standard_normal(shape)
+    x[2:4, 0] = np.nan
+    x[6:12, 1] = np.nan
+    got = taken(api.batchavg(arrays(spark, x), 6))
+    with np.errstate(all="ignore"):
+        import warnings
+
+        warnings.simplefilter("ignore")
+        want = np.nanmean(x.reshape(shape[0] // 6, 6, *shape[1:]), axis=1)
+    assert np.allclose(got, want, equal_nan=True)
+    with pytest.raises(ValueError):
+        api.batchavg(arrays(spark, x), 5)
+
+
+@pytest.mark.parametrize("shape", [(10, 3), (5, 2, 2)])
+def test_array_rechunk_padded(spark, shape):
+    x = np.random.default_rng(3).standard_normal(shape)
+    got = api.rechunk(arrays(spark, x), 4, padding=True).orderBy("chunk").collect()
+    whole = np.concatenate([np.array(r.v) for r in got])
+    assert [r.actual_size for r in got] == [4] * (shape[0] // 4) + [shape[0] % 4] and np.allclose(whole[: len(x)], x) and not whole[len(x) :].any()
+
+
+def test_rechunk_concatenate(spark):
+    from pyspark.sql import functions as F
+
+    got = api.rechunk(made(spark, np.arange(10)), 4, concatenate=F.array_max).orderBy("chunk").collect()
+    assert [r.v for r in got] == [3, 7, 9]
