@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigframe.signal import settled
+
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id where ids are compared; it sorts before all others.
@@ -30,18 +31,7 @@ def partitions(spark: SparkSession) -> int:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the checkpoint folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, as the session names it. One of our own only where there is one machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-    return (where or tempfile.mkdtemp(prefix="sigframe-")).rstrip("/")
+    return settled(df)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -114,43 +104,63 @@ def unpack(blobs: Sequence, kinds: Sequence[str], skip: int = 0) -> list[np.ndar
 
 
 BLOCKS = "bucket int, block binary"
+#: Sections of a partition's records: a worker works on one at a time, and Spark's sort, which spills, holds the others.
+FINE = 8
+#: Where a task has fewer records than this for a section of each partition, a partition's sections stay in one row.
+FEW = 8
 
 
-def blocks(key: np.ndarray, columns: Sequence[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """A record batch with a row for each bucket that the keys fall into."""
-    at = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    ends = np.searchsorted(at[order], np.arange(buckets + 1))
-    found = [b for b in range(buckets) if ends[b] < ends[b + 1]]
-    made = [pack([c[order[ends[b] : ends[b + 1]]] for c in columns]) for b in found]
-    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(made, pa.binary())], ["bucket", "block"])
-
+def blocks(key: np.ndarray, columns: Sequence[np.ndarray], parts: int, kind: int | None = None) -> pa.RecordBatch:
+    """Rows of BLOCKS that hold the records packed, by section of their key's partition; a kind goes before each section.
 
-#: Buckets of records to a partition: a worker holds one at a time, Spark's sort (which spills) the others.
-FINE = 8
+    A row is one section, or, with few records, all sections of a partition behind their lengths. So there are never
+    many more rows than partitions, or than records.
+    """
+    at = (key % np.uint64(parts * FINE)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(parts * FINE + 1))
+    head = b"" if kind is None else bytes((kind,))
+    section = lambda i: head + pack([c[order[ends[i] : ends[i + 1]]] for c in columns])
+    found = np.flatnonzero(ends[1:] > ends[:-1]).tolist()
+    if len(key) >= FEW * FINE * parts:
+        buckets, made = [i + i // FINE + 1 for i in found], [section(i) for i in found]
+    else:
+        whole: dict[int, list[bytes]] = {}
+        for i in found:
+            whole.setdefault(i // FINE, [b""] * FINE)[i % FINE] = section(i)
+        buckets = [p * (FINE + 1) for p in whole]
+        made = [np.array([len(x) for x in s], "<i4").tobytes() + b"".join(s) for s in whole.values()]
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(made, pa.binary())], ["bucket", "block"])
 
 
 def dealt(found: DataFrame) -> DataFrame:
-    """Rows of BLOCKS in the session's number of partitions, each ordered by bucket."""
-    return found.repartition(partitions(found.sparkSession), "bucket").sortWithinPartitions("bucket")
+    """Rows of BLOCKS in the session's number of partitions, each ordered by section."""
+    return found.repartition(partitions(found.sparkSession), F.expr(f"bucket div {FINE + 1}")).sortWithinPartitions("bucket")
 
 
-def buckets_of(spark: SparkSession) -> int:
-    return FINE * partitions(spark)
-
-
-def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """The blocks of each bucket of a partition that is ordered by bucket."""
-    now, held = None, []
+def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Buffer]]:
+    """The packed records of each section of dealt rows."""
+    part, held = None, [[] for _ in range(FINE)]
     for batch in batches:
         for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
-            if bucket != now:
-                if held:
-                    yield held
-                now, held = bucket, []
-            held.append(block.as_buffer())
-    if held:
-        yield held
+            now, code = divmod(bucket, FINE + 1)
+            if now != part:
+                yield from (x for x in held if x)
+                part, held = now, [[] for _ in range(FINE)]
+            block = block.as_buffer()
+            if code:
+                for i in range(code - 1):  # the sections before this one are whole
+                    if held[i]:
+                        yield held[i]
+                        held[i] = []
+                held[code - 1].append(block)
+            else:
+                at = 4 * FINE
+                for i, n in enumerate(np.frombuffer(block, "<i4", FINE).tolist()):
+                    if n:
+                        held[i].append(block.slice(at, n))
+                        at += n
+    yield from (x for x in held if x)
 
 
 # ---- hashed words ------------------------------------------------------------------------------

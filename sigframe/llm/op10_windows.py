@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sigframe.llm.common import BLOCKS, blocks, bucketed, buckets_of, byte_sums, dealt, mix, ranges, read, running, span_hash, texts_in, unpack, words_of
+from sigframe.llm.common import BLOCKS, blocks, byte_sums, dealt, mix, partitions, ranges, read, running, sections, span_hash, texts_in, unpack, words_of
 from sigframe.llm.repeats import WHOLE, covered, doc_key, positions, repeated
 
 WINDOW = 50
@@ -53,7 +53,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 def closer(doubt: DataFrame) -> DataFrame:
     """Marks for the windows around doubtful anchors that start in a smaller document too."""
-    buckets = buckets_of(doubt.sparkSession)
+    buckets = partitions(doubt.sparkSession)
 
     def earlier(h, g, k):
         """True where an equal window is in a smaller document."""
@@ -91,7 +91,7 @@ def closer(doubt: DataFrame) -> DataFrame:
             yield flush(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in bucketed(batches):
+        for held in sections(batches):
             h, g, k, th, at, done = unpack(held, RECORD)
             out = np.flatnonzero(earlier(h, g, k) | (done > 0))
             if len(out):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import _LOWER, BLOCKS, NULL_ID, blocks, bucketed, buckets_of, byte_sums, cut, dealt, keyed, mix, partitions, read, running, span_hash, texts_in, tidy, unpack, whole_rows, words_of
+from sigframe.llm.common import _LOWER, BLOCKS, NULL_ID, blocks, byte_sums, cut, dealt, keyed, mix, partitions, read, running, sections, span_hash, texts_in, tidy, unpack, whole_rows, words_of
 from sigframe.llm.components import Union, components, spread_join
 
 #: Coordinates of a point, entries of a leaf and of an inner node.
@@ -210,11 +210,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
 
 def shared_hashes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Rows (node, h) of hashes that two nodes or more emit."""
-    buckets = buckets_of(docs.sparkSession)
-
-    def kinded(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [bytes((kind,)) + b for b in batch.column("block").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(made, pa.binary())], ["bucket", "block"])
+    buckets = partitions(docs.sparkSession)
 
     def halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h >> np.uint64(16)).astype(np.uint32), h.astype(np.uint16)
@@ -231,11 +227,11 @@ def shared_hashes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         order, new, counts = runs(h)
         shared = np.repeat(counts > 1, counts)
         own = order[~shared]
-        yield kinded(0, blocks(mix(h[own]), (*halves(h[own]), node[own]), buckets))
+        yield blocks(mix(h[own]), (*halves(h[own]), node[own]), buckets, 0)
         if shared.any():  # known to be shared: the hash goes on once, its nodes wherever there is room
             own, one = order[shared], order[new[counts > 1]]
-            yield kinded(1, blocks(mix(h[one]), halves(h[one]), buckets))
-            yield kinded(2, blocks(mix(node[own].view(np.uint64)), (*halves(h[own]), node[own]), buckets))
+            yield blocks(mix(h[one]), halves(h[one]), buckets, 1)
+            yield blocks(mix(node[own].view(np.uint64)), (*halves(h[own]), node[own]), buckets, 2)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, held, n, seen = Grid(num, den), [], 0, set()
@@ -253,7 +249,7 @@ def shared_hashes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
             yield from flush(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in bucketed(batches):
+        for held in sections(batches):
             yield from met(*([x for x in held if memoryview(x)[0] == kind] for kind in range(3)))
 
     def met(alone: list, shared_in: list, sent_on: list) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sigframe.llm.common import BLOCKS, _P, blocks, bucketed, buckets_of, byte_sums, dealt, mix, powers, ranges, read, span_hash, texts_in, unpack
+from sigframe.llm.common import BLOCKS, _P, blocks, byte_sums, dealt, mix, partitions, powers, ranges, read, sections, span_hash, texts_in, unpack
 from sigframe.llm.repeats import WHOLE, covered, doc_key, positions, repeated
 
 WINDOW = 100
@@ -241,19 +241,15 @@ def _second(data: np.ndarray) -> np.ndarray:
 
 
 def closer(doubt: DataFrame) -> DataFrame:
-    buckets = buckets_of(doubt.sparkSession)
-
-    def with_kind(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [bytes((kind,)) + b for b in batch.column("block").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(made, pa.binary())], ["bucket", "block"])
+    buckets = partitions(doubt.sparkSession)
 
     def flush(held: list, kind: int) -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*held)]
         if kind:
             h, g, k, th, at = columns
             done = _later(*columns)
-            return with_kind(1, blocks(np.where(done, doc_key(k, th), h), (*columns, done.astype(np.int8)), buckets))
-        return with_kind(0, blocks(columns[0], columns, buckets))
+            return blocks(np.where(done, doc_key(k, th), h), (*columns, done.astype(np.int8)), buckets, 1)
+        return blocks(columns[0], columns, buckets, 0)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, far, n, m = [], [], 0, 0
@@ -292,7 +288,7 @@ def closer(doubt: DataFrame) -> DataFrame:
             yield flush(far, 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in bucketed(batches):
+        for held in sections(batches):
             marks = []
             if far := [x for x in held if memoryview(x)[0]]:
                 h, g, k, th, at, done = unpack(far, FAR, 1)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import BLOCKS, blocks, bucketed, buckets_of, cut, dealt, keyed, mix, texts_in, tidy, unpack
+from sigframe.llm.common import BLOCKS, blocks, cut, dealt, keyed, mix, partitions, sections, texts_in, tidy, unpack
 
 RECORD = ("<u8", "<u8", "<i8", "<i4", "<i4", "<i1")  # anchor, surroundings, k, th, position, state
 MARK = ("<i8", "<i4", "<i4", "<i1")  # k, th, position, state
@@ -74,7 +74,7 @@ def _runs(h: np.ndarray) -> np.ndarray:
 def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchors], by_document: bool) -> DataFrame:
     """k, th, whole, part, many for documents with repeats: packed positions of anchors whose surroundings repeat in
     full, of those that need a closer look, and of those that need one and stand in many surroundings."""
-    buckets = buckets_of(docs.sparkSession)
+    buckets = partitions(docs.sparkSession)
 
     def flush(held: list) -> pa.RecordBatch:
         h, around, k, th, pos = (np.concatenate(x) for x in zip(*held))
@@ -108,7 +108,7 @@ def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
             yield flush(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in bucketed(batches):
+        for held in sections(batches):
             yield from judge(*unpack(held, RECORD))
 
     def judge(h, around, k, th, pos, state) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ MARKS = "k bigint, th int, whole binary, part binary, many binary"
 
 def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document of the marks."""
-    for held in bucketed(batches):
+    for held in sections(batches):
         k, th, pos, state = unpack(held, MARK)
         order = np.lexsort((pos, th, k))
         k, th, pos, state = k[order], th[order], pos[order], state[order]

@@ -704,3 +704,33 @@ def test_divergence(spark):
     assert all(got[i].kept for i in range(60)) and not got[100].kept and got[100].js_words > 0.4
     near, far = (np.array(got[i].chars) / sum(got[i].chars) for i in (0, 100))
     assert near.shape == far.shape
+
+
+# ---- packed records ----
+
+
+@pytest.mark.parametrize("n", [0, 5, 3000])
+def test_sections(n):
+    """All records come back, each section whole, whether a row holds one section or several."""
+    from sigframe.llm import common
+
+    rng = np.random.default_rng(n)
+    key, value = rng.integers(0, 1 << 63, n).astype(np.uint64), rng.integers(-9, 9, n)
+    rows = [common.blocks(key[i::3], (key[i::3], value[i::3]), 4, 7) for i in range(3)] + [common.blocks(key[:7], (key[:7], value[:7]), 4, 7)]
+    by_part = {}
+    for batch in rows:
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+            by_part.setdefault(bucket // (common.FINE + 1), []).append((bucket, block))
+    import pyarrow as pa
+
+    seen, told = set(), []
+    for part in by_part.values():
+        part.sort(key=lambda x: x[0])
+        for held in common.sections([pa.RecordBatch.from_arrays([pa.array([b for b, _ in part], pa.int32()), pa.array([x for _, x in part], pa.binary())], ["bucket", "block"])]):
+            assert all(memoryview(x)[0] == 7 for x in held)
+            k, v = common.unpack(held, ("<u8", "<i8"), 1)
+            places = set((k % np.uint64(4 * common.FINE)).tolist())
+            assert len(places) == 1 and not places & seen
+            seen |= places
+            told += zip(k.tolist(), v.tolist())
+    assert sorted(told) == sorted([*zip(key.tolist(), value.tolist()), *zip(key[:7].tolist(), value[:7].tolist())])
