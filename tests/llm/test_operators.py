@@ -508,6 +508,42 @@ def test_mixing(spark, corpus):
     assert op6_mixing.mix(documents(spark, rows).where("false")).count() == 0
 
 
+def brute_seats(votes, house, caps):
+    """By the definition: one seat after the other to the highest quotient."""
+    seats = [0] * len(votes)
+    for _ in range(house):
+        able = [i for i in range(len(votes)) if seats[i] < caps[i] and votes[i] > 0]
+        if not able:
+            break
+        seats[max(able, key=lambda i: (votes[i] / (2 * seats[i] + 1), -i))] += 1
+    return seats
+
+
+def test_sainte_lague(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for g in range(60):
+        n = rng.choice([1, 2, 3, 7, 30])
+        votes = [rng.choice([0, 1, 5, rng.randint(1, 50), rng.randint(1, 5000)]) for _ in range(n)]
+        house = rng.choice([0, 1, n, 10 * n, rng.randint(1, 400)])
+        caps = [rng.choice([1 << 40, 1 << 40, rng.randint(1, house // n + 2)]) for _ in range(n)]
+        rows += [(g, i, v, house, c) for i, (v, c) in enumerate(zip(votes, caps))]
+        want |= {(g, i): s for i, s in enumerate(brute_seats(votes, house, caps))}
+    df = spark.createDataFrame(rows, "g int, i int, votes long, house long, cap long").repartition(3)
+    got = {(r.g, r.i): r.seats for r in op6_mixing.apportioned(df, ["g"], "votes", "house", "cap", ["i"]).collect()}
+    assert got == want
+
+
+def test_mixing_without_ids(spark):
+    """Rows without an id, or with one id, are dealt to shards by their texts; reruns agree on whole rows."""
+    rows = [(None if i % 2 else 7, f"text number {i} " * 20, "en", "s") for i in range(300)]
+    got = op6_mixing.mix(documents(spark, rows), shard_words=500, block=16).collect()
+    assert len({r.shard for r in got}) > 30
+    runs = [sorted(r.text for r in op6_mixing.sampled(documents(spark, rows, n), shard_words=500, block=16).collect()) for n in (3, 5)]
+    assert runs[0] == runs[1]
+    assert op6_mixing.sampled(documents(spark, rows).where("false")).count() == 0
+
+
 # ---- 7 ----
 
 
