@@ -316,6 +316,60 @@ def test_terms_of_texts_that_repeat(spark):
     assert all(got[i] == {"Zaphod"} for i in (0, 1, 1000, 1299)) and not got[100]
 
 
+def brute_terms(rows):
+    """The words that disclose entities, by the definition over all distinct texts."""
+    import math
+
+    import regex
+
+    found = {}
+    for text in {t or "" for _, t in rows}:
+        spans = [(m.start(), m.end(), k, m.group()) for k, p in KINDS.items() for m in re.finditer(p, text) if holds(k, m.group())]
+        rest, entities = list(text), set()
+        for s, e, k, v in spans:
+            rest[s:e] = "0" * (e - s)
+            digits = re.sub("[^0-9]", "", v)
+            entities |= {(k, "kind"), (k, "value", v)}
+            entities |= {(k, "same", v.lower()), (k, "part", v.lower().rsplit("@")[-1])} if k == "email" else set()
+            entities |= {(k, "part", ".".join(v.split(".")[:2])), (k, "part", ".".join(v.split(".")[:3]))} if k == "ip" else set()
+            entities |= {(k, "same", digits), (k, "part", digits[:6] if k == "card" else digits[:-7])} if k in ("card", "phone") else set()
+        at = [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"(?<![\p{L}\p{N}])\p{L}{3,}(?![\p{L}\p{N}])", "".join(rest))]
+        found[text] = entities, at
+    n, n_e, n_t, n_te = len(found), {}, {}, {}
+    for entities, at in found.values():
+        terms = {w for _, _, w in at}
+        for key, table in [((e,), n_e) for e in entities] + [((w,), n_t) for w in terms] + [((e, w), n_te) for e in entities for w in terms]:
+            table[key] = table.get(key, 0) + 1
+    told = {}
+    for text, (entities, at) in found.items():
+        flagged = {w for e in entities if 3 <= n_e[e,] < n for _, _, w in at if n_te[e, w] >= 3 and math.log(n * n_te[e, w] / (n_t[w,] * n_e[e,])) / math.log(n / n_e[e,]) >= 0.7}
+        told[text] = [f"term:{a}:{b}" for a, b, w in at if w in flagged]
+    return told
+
+
+def test_terms_brute_force(spark):
+    rng = random.Random(17)
+    common = [f"common{c}" for c in "abcdefgh"]
+    special = [["Zaphod", "betel"], ["Marvin", "androïd"], ["Trillian"]]
+    values = [lambda: f"a{rng.randint(0, 99)}@ship.org", lambda: f"10.0.{rng.randint(0, 3)}.{rng.randint(0, 255)}", lambda: f"+1 (555) 123-40{rng.randint(10, 99)}"]
+    rows = []
+    for i in range(260):
+        words = [rng.choice(common) for _ in range(rng.randint(2, 12))]
+        if rng.random() < 0.4:
+            kind = rng.randrange(3)
+            words += [values[kind](), rng.choice(special[kind]) if rng.random() < 0.8 else "plain"]
+        if rng.random() < 0.06:
+            words.append(rng.choice(special[rng.randrange(3)]))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += rows[:40]
+    want = brute_terms(rows)
+    got = op3_pii.report(documents(spark, rows)).collect()
+    texts = dict(rows)
+    assert sum(map(len, want.values())) > 50
+    assert all(sorted(x for x in r.spans.split(",") if x.startswith("term")) == sorted(want[texts[r.doc_id]]) for r in got)
+
+
 # ---- 4 ----
 
 

@@ -76,3 +76,25 @@ def test_pipeline(spark, tmp_path):
     want = sorted((i, hashlib.sha256(np.array(library.encode_ordinary(t), "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(before.doc_id, before.text))
     assert sorted(zip(after.doc_id, after.ids_sha256, after.decoded_sha256)) == want
     assert corpus_pipeline.run(spark, TABLES).count() == len(after)
+
+
+def test_pipeline_edges(spark):
+    """Each stage on nulls, empty and long texts, repeated rows, clashing columns, and no rows."""
+    import corpus_pipeline
+
+    rows = [(900, None), (901, ""), (902, " \n\t "), (903, "word"), (903, "word"), (904, "two words"), (None, "one id is null"), (None, "one id is null"), (None, "another text"), (905, "é " * 30_000), (906, "x" * 200_000),
+            (907, "a b c d e f g h i j " * 40), (907, "a b c d e f g h i j " * 40), (908, "write to a@b.org or +1 555 123 4567 now")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, k string, th long, row string, node string, part string, _salt int, toxic string"
+    full = [(i, t, None if n % 2 else "en", [None, "a", "b"][n % 3], len(t or ""), "k", 5, "r", "n", "p", 3, "t") for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(full, kind).repartition(3)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, TABLES)
+        assert name == "tokens" or out.columns == docs.columns and [(c, t) for c, t in out.dtypes] == docs.dtypes
+        counts[name] = out.collect()
+        assert stage(spark, docs.where("false"), TABLES).count() == 0
+    assert len(counts["toxicity"]) == len(counts["personal data"]) == len(counts["tokens"]) == len(rows)
+    assert sorted(r.doc_id or 0 for r in counts["near-duplicates"]) == [0, 0, 900, 901, 902, 903, 904, 905, 906, 907, 908]
+    assert [r.text for r in counts["personal data"] if r.doc_id == 908] == ["write to [EMAIL] or [PHONE] now"] and any(r.text is None for r in counts["personal data"])
+    assert all(r.text and r.text.strip() for r in counts["mixing"]) and all(r.n_chars == len(r.text) for r in counts["mixing"])
+    assert {r.n_tokens for r in counts["tokens"] if r.doc_id in (900, 901)} == {0}
