@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sigframe.llm.common import BLOCKS, blocks, byte_sums, dealt, mix, partitions, ranges, read, running, sections, span_hash, texts_in, unpack, words_of
-from sigframe.llm.repeats import WHOLE, covered, doc_key, positions, repeated
+from sigframe.llm.repeats import WHOLE, Marks, covered, doc_key, marked, positions, repeated
 
 WINDOW = 50
 #: A difference cover and its period.
@@ -91,11 +91,13 @@ def closer(doubt: DataFrame) -> DataFrame:
             yield flush(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in sections(batches):
-            h, g, k, th, at, done = unpack(held, RECORD)
-            out = np.flatnonzero(earlier(h, g, k) | (done > 0))
-            if len(out):
-                yield blocks(doc_key(k[out], th[out]), (k[out], th[out], at[out], np.full(len(out), WHOLE, np.int8)), buckets)
+        def found() -> Iterator[Marks]:
+            for held in sections(batches):
+                h, g, k, th, at, done = unpack(held, RECORD)
+                out = np.flatnonzero(earlier(h, g, k) | (done > 0))
+                yield k[out], th[out], at[out], np.full(len(out), WHOLE, np.int8)
+
+        yield from marked(found(), buckets)
 
     return dealt(doubt.select("k", "th", "text", "part", "many").mapInArrow(find, BLOCKS)).mapInArrow(compare, BLOCKS)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sigframe.llm.common import BLOCKS, _P, blocks, byte_sums, dealt, mix, partitions, powers, ranges, read, sections, span_hash, texts_in, unpack
-from sigframe.llm.repeats import WHOLE, covered, doc_key, positions, repeated
+from sigframe.llm.repeats import WHOLE, Marks, covered, doc_key, marked, positions, repeated
 
 WINDOW = 100
 GRAM = 32
@@ -288,24 +288,22 @@ def closer(doubt: DataFrame) -> DataFrame:
             yield flush(far, 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in sections(batches):
-            marks = []
-            if far := [x for x in held if memoryview(x)[0]]:
-                h, g, k, th, at, done = unpack(far, FAR, 1)
-                out = np.flatnonzero((done > 0) | _later(h, g, k, th, at))
-                marks.append((k[out], th[out], at[out]))
-            if near := [x for x in held if not memoryview(x)[0]]:
-                h, raw, k, th, pos, left, right = unpack(near, NEAR, 1)
-                by = np.lexsort((pos, th, k))
-                new = np.ones(len(by), bool)
-                new[1:] = (k[by][1:] != k[by][:-1]) | (th[by][1:] != th[by][:-1]) | (pos[by][1:] != pos[by][:-1])
-                rank = np.empty(len(by), np.int64)
-                rank[by] = np.cumsum(new)
-                for b, out in repeats_around(h, raw.view(np.uint8).reshape(-1, AROUND), left.astype(np.int64), right.astype(np.int64), rank):
-                    marks.append((k[out], th[out], pos[out] - np.int32(b)))
-            k, th, at = (np.concatenate(x) for x in zip(*marks)) if marks else ((), (), ())
-            if len(k):
-                yield blocks(doc_key(k, th), (k, th, at, np.full(len(k), WHOLE, np.int8)), buckets)
+        yield from marked((marks for held in sections(batches) for marks in judge(held)), buckets)
+
+    def judge(held: list) -> Iterator[Marks]:
+        if far := [x for x in held if memoryview(x)[0]]:
+            h, g, k, th, at, done = unpack(far, FAR, 1)
+            out = np.flatnonzero((done > 0) | _later(h, g, k, th, at))
+            yield k[out], th[out], at[out], np.full(len(out), WHOLE, np.int8)
+        if near := [x for x in held if not memoryview(x)[0]]:
+            h, raw, k, th, pos, left, right = unpack(near, NEAR, 1)
+            by = np.lexsort((pos, th, k))
+            new = np.ones(len(by), bool)
+            new[1:] = (k[by][1:] != k[by][:-1]) | (th[by][1:] != th[by][:-1]) | (pos[by][1:] != pos[by][:-1])
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.cumsum(new)
+            for b, out in repeats_around(h, raw.view(np.uint8).reshape(-1, AROUND), left.astype(np.int64), right.astype(np.int64), rank):
+                yield k[out], th[out], pos[out] - np.int32(b), np.full(len(out), WHOLE, np.int8)
 
     return dealt(doubt.select("k", "th", "text", "part", "many").mapInArrow(find, BLOCKS)).mapInArrow(compare, BLOCKS)
 

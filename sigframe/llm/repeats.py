@@ -36,9 +36,28 @@ MANY_HERE, MANY_IN_ALL = 128, 4096
 #: Anchors that a task combines at a time.
 BATCH = 1_000_000
 
+Marks = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 Anchors = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # text's number, position, hash, surroundings
 
 
+def marked(found: Iterator[Marks], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of MARK records, in few rows."""
+    held, n = [], 0
+    for marks in found:
+        held.append(marks)
+        n += len(marks[0])
+        if n >= BATCH:
+            yield _blocks_of(held, buckets)
+            held, n = [], 0
+    if n:
+        yield _blocks_of(held, buckets)
+
+
+def _blocks_of(held: list[Marks], buckets: int) -> pa.RecordBatch:
+    k, th, pos, state = (np.concatenate(x) for x in zip(*held))
+    return blocks(doc_key(k, th), (k, th, pos, state), buckets)
+
+
 def documents(docs: DataFrame) -> DataFrame:
     return keyed(docs).withColumn("th", F.col("th").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
 
@@ -108,10 +127,9 @@ def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
             yield flush(held)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in sections(batches):
-            yield from judge(*unpack(held, RECORD))
+        yield from marked((judge(*unpack(held, RECORD)) for held in sections(batches)), buckets)
 
-    def judge(h, around, k, th, pos, state) -> Iterator[pa.RecordBatch]:
+    def judge(h, around, k, th, pos, state) -> Marks:
         rest = np.flatnonzero((state == OPEN) | (state == WITNESS))
         rest = rest[np.argsort(h[rest], kind="stable")]
         new = _runs(h[rest])
@@ -135,8 +153,7 @@ def anchored(docs: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], Anchor
                 out[left] = np.repeat(np.where(many, MANY, np.where(unlike, OPEN, -1)), counts)
         out[state == WITNESS] = -1
         told = np.flatnonzero(out >= 0)
-        if len(told):
-            yield blocks(doc_key(k[told], th[told]), (k[told], th[told], pos[told], out[told]), buckets)
+        return k[told], th[told], pos[told], out[told]
 
     found = dealt(documents(docs).select("k", "th", "text").mapInArrow(find, BLOCKS))
     return dealt(found.mapInArrow(compare, BLOCKS)).mapInArrow(by_text, MARKS)
