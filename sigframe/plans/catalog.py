@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sigframe import api
 from sigframe.signal import Signal, shared_folder, signal
+from sigframe.streaming import processors
 
 CENTS = "cast(round(value * 100) as bigint)"
 #: Three slow-pole sections: radius 0.99 to 0.999.
@@ -240,6 +241,26 @@ def _fft(s: SparkSession, d: str) -> DataFrame:
     return vectors(s, d).df.select("idx", power("v").alias("p")).select("idx", F.posexplode("p").alias("k", "p")).select("idx", "k", F.round("p", 5).alias("p"))
 
 
+def _streamed(f, out: str, kind: str):
+    """f over the events arriving as four files, the last with the end row; the results as columns out of the type."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        folder, x = _shared(s), cents(s, d)
+        n = x.length()
+        rows = x.df.select("idx", F.col("v").cast("double").alias("v"), F.lit(False).alias("fin"))
+        for part in range(4):
+            some = rows.where((F.col("idx") >= n * part // 4) & (F.col("idx") < n * (part + 1) // 4))
+            if part == 3:
+                some = some.union(s.range(1).select(F.lit(n), F.lit(0.0), F.lit(True)))
+            some.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        arriving = s.readStream.schema("idx long, v double, fin boolean").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        made = f(arriving).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        made.awaitTermination()
+        return s.read.parquet(f"{folder}/out").select("idx", F.expr(out).cast(kind).alias("v"))
+
+    return query
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batchavg_16": _batchavg,
     "sliding_17_11": _sliding,
@@ -296,6 +317,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chain_no_first_carry": _chain_none,
     "per_entry_no_first_carry": _per_entry_none,
     "binary_skip": _binary_skip,
+    "stream_cumsum": _streamed(lambda df: processors.stream_cumsum(df.where("not fin"), 7.0), "v", "bigint"),
+    "stream_oaconvolve": _streamed(lambda df: processors.stream_oaconvolve(df, [1, -3, 2], 5, end="fin"), "v", "bigint"),
+    "stream_upfirdn": _streamed(lambda df: processors.stream_upfirdn(df, [1, -3, 2], 2, 3, end="fin"), "v", "bigint"),
+    "stream_sosfilt": _streamed(lambda df: processors.stream_sosfilt(df.where("not fin"), SOS), "round(v / 100, 3)", "double"),
     "cache_roundtrip": _cache,
     "binary_roundtrip": _binary,
     "store_skip": _store,
@@ -410,6 +435,10 @@ select n - 1 - i as idx, round(y, 3) as v from q where i >= 0""",
     "apply_series": "select user_id, event_id as idx, (sum(cast(round(value * 100) as bigint)) over (partition by user_id order by event_id rows unbounded preceding))::bigint as v from events",
     "chain": f"select i as idx, (5 + 2 * sum(v) over (order by i rows unbounded preceding))::bigint as v from {_E}",
     "per_entry": f"select e.i as idx, e.v + 1 as v0, -o.v as v1 from {_E} e join {_O} o on e.i = o.i",
+    "stream_cumsum": f"select i as idx, (7 + sum(v) over (order by i rows unbounded preceding))::bigint as v from {_E}",
+    "stream_oaconvolve": f"with r as ({_conv_sql([1, -3, 2], 5)}), n as (select max(idx) m from r) select t.i as idx, coalesce(v, 0)::bigint as v from n, unnest(range(m + 1)) t(i) left join r on r.idx = t.i",
+    "stream_upfirdn": _upfirdn_sql([1, -3, 2], 2, 3, True),
+    "stream_sosfilt": f"with recursive e as (select event_id i, round(value * 100) x from events), {_sos_sql('e', 'r')} select i as idx, round(y / 100, 3) as v from r where i >= 0",
     "cache_roundtrip": f"select i as idx, v * 2 as v from {_E}",
     "binary_roundtrip": f"select i as idx, v from {_E}",
     "store_skip": f"select i as idx, v - 1 as v from {_E} where (i // 50) % 3 = 0",
