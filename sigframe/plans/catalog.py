@@ -175,7 +175,7 @@ def _hash(s: SparkSession, d: str) -> DataFrame:
 def _filtered(both: bool):
     def query(s: SparkSession, d: str) -> DataFrame:
         f = api.sosfiltfilt if both else api.sosfilt
-        return f(SOS, values(s, d), size=1000).df.select("idx", F.round("v", 3).alias("v"))
+        return f(SOS, values(s, d), size=1000).df.select("idx", F.round("v", 0 if both else 3).alias("v"))
 
     return query
 
@@ -419,7 +419,7 @@ select k as chunk, count(*) // 64 as actual_size, 64::bigint as n, round(sum(x),
 select i as idx, k::int as k, round(re * re + im * im, 5) as p from f""",
     "sosfilt": f"with recursive e as (select event_id i, value x from events), {_sos_sql('e', 'r')} select i as idx, round(y, 3) as v from r where i >= 0",
     "sosfiltfilt": f"""with recursive e as (select event_id i, value x from events), {_sos_sql('e', 'r')}, b as (select n - 1 - i as i, y as x from r where i >= 0), {_sos_sql('b', 'q')}
-select n - 1 - i as idx, round(y, 3) as v from q where i >= 0""",
+select n - 1 - i as idx, round(y, 0) as v from q where i >= 0""",
     "chain_no_first_carry": f"select i as idx, 2 * v + 1 as v from {_E}",
     "per_entry_no_first_carry": f"select e.i as idx, 2 * e.v as v0, o.v as v1 from {_E} e join {_O} o on e.i = o.i",
     "binary_skip": f"select row_number() over (order by i) - 1 as idx, v + 2 as v from {_E} where (i // 50) % 4 = 0",
