@@ -165,3 +165,49 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_pii": op3_pii}
+
+
+def _sql() -> str:
+    """The same query in DuckDB's SQL, whose patterns need no possessive forms."""
+    plain = {k: p.replace("++", "+") for k, p in PATTERNS.items()}
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: case when (length({digits}) - i) % 2 = 0 then {digits}[i]::int else 2 * {digits}[i]::int - case when {digits}[i] > '4' then 9 else 0 end end)) % 10 = 0"
+    checks = {"email": "true", "ip": f"regexp_full_match(v, '{BYTE}([.]{BYTE})" + "{3}')", "card": f"length({digits}) between 12 and 19 and {luhn}", "phone": f"length({digits}) between 9 and 15"}
+
+    def found(source: str, column: str, pattern: str) -> str:
+        """tid, s, e, v of a pattern's matches."""
+        return f"""select tid, s, s + length(v) e, v from (select tid, m[i] v, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) s
+  from (select tid, m, p, unnest(range(1, len(m) + 1)) i from (select tid, regexp_extract_all({column}, '{pattern}') m, regexp_split_to_array({column}, '{pattern}') p from {source})))"""
+
+    kinds = " union all ".join(f"select tid, s, {i} o, e, v from ({found('u', 't', plain[k])}) where {checks[k]}" for i, k in enumerate(KINDS))
+    name = "case o " + " ".join(f"when {i} then '{k}'" for i, k in enumerate((*KINDS, "term"))) + " end"
+    told = f"string_agg({name} || ':' || s || ':' || e, ',' order by s, o, e)"
+    entities = (
+        "o || ':kind' as key from b", "o || ':value:' || v as key from b", "o || ':same:' || lower(v) as key from b where o = 0", "o || ':part:' || lower(regexp_extract(v, '[^@]*$')) as key from b where o = 0",
+        "o || ':part:' || array_to_string(string_split(v, '.')[1:2], '.') as key from b where o = 1", "o || ':part:' || array_to_string(string_split(v, '.')[1:3], '.') as key from b where o = 1",
+        f"o || ':same:' || {digits} as key from b where o > 1", f"o || ':part:' || {digits}[1:case o when 2 then 6 else length({digits}) - 7 end] as key from b where o > 1",
+    )
+    run = r"[\p{L}\p{N}]+"
+    return f"""
+with u as (select t, row_number() over () tid from (select distinct coalesce(text, '') t from documents)),
+b as materialized ({kinds}),
+g as (select tid, list({{'s': s, 'e': e}}) sp from b group by tid),
+w as (select u.tid, case when sp is null then t else array_to_string(list_transform(string_split(t, ''), lambda c, i: case when len(list_filter(sp, lambda x: x.s < i and i <= x.e)) > 0 then '0' else c end), '') end rest from u left join g on u.tid = g.tid),
+n as (select count(*)::double n from u),
+e as ({" union ".join(f"select tid, {x}" for x in entities)}),
+ne as (select key, count(*) n_e from e group by key having count(*) >= {SUPPORT} and count(*) < (select n from n)),
+t as (select distinct tid, lower(x) term from (select tid, unnest(regexp_extract_all(rest, '{run}')) x from w) where regexp_full_match(x, '\\p{{L}}{{3,}}')),
+nt as (select term, count(*) n_t from t group by term),
+p as (select key, term, count(*) n_te from e join t using (tid) join ne using (key) group by 1, 2 having count(*) >= {SUPPORT}),
+r as (select key, term from p join ne using (key) join nt using (term), n where ln(n * n_te / (n_t * n_e)) / ln(n / n_e) >= {GENERALISE}),
+fl as (select distinct tid, term from r join e using (key) join t using (tid, term)),
+h as (select w.* from w where tid in (select tid from fl)),
+m as (select q.tid, q.s, 4 o, q.e from ({found('h', 'rest', run)}) q join fl on fl.tid = q.tid and fl.term = lower(q.v)),
+c as (select tid, {", ".join(f"count(*) filter (o = {i}) n_{k}" for i, k in enumerate(KINDS))}, {told} told from b group by tid),
+a as (select tid, {told} told, count(*) filter (o = 4) n_term from (select tid, s, o, e from b union all select tid, s, o, e from m) group by tid)
+select doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in KINDS)}, sha256(coalesce(c.told, '')) as base_sha256, coalesce(a.told, '') as spans, coalesce(n_term, 0)::bigint as n_term
+from documents d join u on coalesce(d.text, '') = u.t left join c on c.tid = u.tid left join a on a.tid = u.tid
+"""
+
+
+ORACLES = {"op3_pii": _sql()}
