@@ -94,17 +94,17 @@ def components(edges: DataFrame) -> DataFrame:
     be cut or read from a table, as few tasks read them.
 
     Labels pass along edges and jump to their label's label, so that the rounds are about the logarithm of the longest
-    path. Hubs are combined before the shuffle that takes least labels; in joins a hub's edges, and the nodes of one
-    label, are spread over SALTS tasks.
+    path. Hubs are combined before the shuffle that takes least labels; in joins, a round's rows of a hub or a label are
+    left to Spark's splitting of skewed partitions, as salting each round would double its shuffles.
     """
     thin = thinned(edges)
     both = cut(thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
     while True:
-        told = spread_join(both, labels.withColumnRenamed("id", "b"), ["b"], ["a"]).groupBy("a").agg(F.min("label").alias("m"))
-        near = cut(labels.join(told, labels["id"] == told["a"]).select("id", F.col("label").alias("was"), F.least("label", "m").alias("label")))
-        root = near.select(F.col("id").alias("label"), F.col("label").alias("jumped")).filter("label != jumped")
-        step = cut(spread_join(near, root, ["label"], ["id"], "left").select("id", "was", F.least("label", F.coalesce("jumped", "label")).alias("label")))
+        told = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("m"))
+        near = labels.join(told, labels["id"] == told["a"]).select("id", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        root = near.select(F.col("id").alias("r"), F.col("label").alias("jumped"))
+        step = cut(near.join(root, near["label"] == root["r"], "left").select("id", "was", F.least("label", F.coalesce("jumped", "label")).alias("label")))
         changed = step.filter("label != was").limit(1).count()
         labels = step.select("id", "label")
         if not changed:
