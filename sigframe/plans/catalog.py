@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe import api
+from sigframe.functions.design import butterworth_bandpass
 from sigframe.signal import Signal, shared_folder, signal
 from sigframe.streaming import processors
 
 CENTS = "cast(round(value * 100) as bigint)"
+#: Of the noise, in cycles per sample.
+BAND = (0.01, 0.1)
 #: Three slow-pole sections: radius 0.99 to 0.999.
 SOS = [[1.0, -1.0, 0.0, 1.0, -2 * r * float(np.cos(w)), r * r] for r, w in ((0.99, 0.1), (0.995, 0.3), (0.999, 0.7))]
 
@@ -308,8 +311,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mix": _mix,
     "sosfilt": _filtered(False),
     "sosfiltfilt": _filtered(True),
-    "noise": lambda s, d: api.brownian_noise(values(s, d), 1e-2, 0.01, 0.1, order=4, seed=1, size=1000).df,
-    "add_brownian_noise": lambda s, d: api.add_brownian_noise(values(s, d), 1e-2, 0.01, 0.1, order=4, seed=1).df,
+    "noise": lambda s, d: api.brownian_noise(values(s, d), 1e-2, *BAND, order=4, seed=1, size=1000).df.select("idx", F.round("v", 6).alias("v")),
+    "add_brownian_noise": lambda s, d: api.add_brownian_noise(values(s, d), 1e-2, *BAND, order=4, seed=1).df.select("idx", F.round("v", 6).alias("v")),
     "apply_running_sum": _apply,
     "apply_series": _apply_series,
     "chain": _chain,
@@ -357,21 +360,58 @@ select g.idx, coalesce(y, 0)::bigint as v from g left join p on g.idx = p.idx"""
 _ENTRIES = "with z as (select vec_id i, p::int p, embedding[p + 1]::double x from embeddings, unnest(range(64)) t(p))"
 
 
-def _sos_sql(source: str, name: str) -> str:
+def _sos_sql(source: str, name: str, sos=SOS) -> str:
     """The sections, one after the other, over source(i, x), as a recursive table name(i, n, l, y, states)."""
     number = lambda v: f"{float(v)!r}::double"
-    states = ", ".join(f"z{s}1, z{s}2" for s in range(len(SOS)))
-    inputs = ["x", *(f"y{s}" for s in range(len(SOS)))]
+    states = ", ".join(f"z{s}1, z{s}2" for s in range(len(sos)))
+    inputs = ["x", *(f"y{s}" for s in range(len(sos)))]
     rows = f"(select i + 1 i, n, l, l[i + 2] x, {states} from {name} where i + 1 < n)"
     after = []
-    for s, (b0, b1, b2, _, a1, a2) in zip(range(len(SOS)), SOS):
+    for s, (b0, b1, b2, _, a1, a2) in zip(range(len(sos)), sos):
         rows = f"(select *, {number(b0)} * {inputs[s]} + z{s}1 y{s} from {rows})"
         after += [f"{number(b1)} * {inputs[s]} - {number(a1)} * y{s} + z{s}2", f"{number(b2)} * {inputs[s]} - {number(a2)} * y{s}"]
     begin = f"select -1::bigint, count(*), list(x order by i), 0::double, {', '.join(['0::double'] * len(after))} from {source}"
     return f"{name}(i, n, l, y, {states}) as ({begin} union all select i, n, l, {inputs[-1]}, {', '.join(after)} from {rows})"
 
 
+#: The primes of the 64-bit xxHash, and Spark's seed of it.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+_SEED, _ONES = 42, (1 << 64) - 1
+
+
+def _hash_sql(value: str, seed: str) -> str:
+    """xxHash of one 64-bit integer; both are expressions of unsigned 128-bit integers."""
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in _PRIMES)
+    low = lambda x: f"(({x}) & {_ONES}::uhugeint)"
+    turned = lambda x, n: low(f"({x} << {n}) | ({x} >> {64 - n})")
+    times = low(f"{turned(low(f'{value} * {p2}'), 31)} * {p1}")
+    mixed = low(f"{turned(f'xor({low(f'{seed} + {p5} + 8::uhugeint')}, {times})', 27)} * {p1} + {p4}")
+    return f"(select xor(c, c >> 32) from (select {low(f'xor(b, b >> 29) * {p3}')} c from (select {low(f'xor(a, a >> 33) * {p2}')} b from (select {mixed} a))))"
+
+
+def _hash(value: int, seed: int) -> int:
+    """The same in Python."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    turned = lambda x, n: (x << n | x >> 64 - n) & _ONES
+    x = (turned(seed + p5 + 8 & _ONES ^ turned(value * p2 & _ONES, 31) * p1 & _ONES, 27) * p1 + p4) & _ONES
+    x = (x ^ x >> 33) * p2 & _ONES
+    x = (x ^ x >> 29) * p3 & _ONES
+    return x ^ x >> 32
+
+
+def _noise_sql() -> str:
+    """Tables up to r(i, .., y): the noise of the two queries, with its seed 1."""
+    first = [_hash(stream, _hash(1, _SEED)) for stream in (0, 1)]
+    uniform = [f"(({_hash_sql('i::uhugeint', f'{f}::uhugeint')} >> 11)::double + 0.5) / 9007199254740992" for f in first]
+    std = float(np.sqrt(1e-2**2 * (2 * np.pi) ** 2 / 2 / (1 / BAND[0] - 1 / BAND[1])))
+    sos = [[float(x) for x in s] for s in butterworth_bandpass(4, *BAND)]
+    return f"""with recursive u as (select event_id i, {uniform[0]} u0, {uniform[1]} u1 from events),
+w as (select i, sqrt(-2.0::double * ln(u0)) * cos(2.0::double * {_P} * u1) * {std!r}::double x from u), e as (select i, sum(x) over (order by i rows unbounded preceding) x from w), {_sos_sql('e', 'r', sos)}"""
+
+
 ORACLES: dict[str, str] = {
+    "noise": f"{_noise_sql()} select i as idx, round(y, 6) as v from r where i >= 0",
+    "add_brownian_noise": f"{_noise_sql()} select i as idx, round(value + y, 6) as v from r join events on event_id = i where i >= 0",
     "batchavg_16": "with m as (select count(*) n from events) select event_id // 16 as idx, round(avg(value), 6) as v from events, m where event_id < n // 16 * 16 group by 1",
     "sliding_17_11": f"with e as {_E}, m as (select count(*) n from e), ks as (select unnest(range(greatest(0, (n - 17) // 11 + 1))) k from m) select k as window, sum(v)::bigint as total, arg_min(v, i) as first, arg_max(v, i) as last from ks join e on i >= k * 11 and i < k * 11 + 17 group by k",
     "sliding_coefficients": f"with e as {_E}, m as (select count(*) n from e), ks as (select unnest(range(greatest(0, (n - 5) // 3 + 1))) k from m) select k as window, sum(v * case i - k * 3 when 0 then 1 when 1 then 2 when 2 then -3 when 3 then 2 else 1 end)::bigint as total from ks join e on i >= k * 3 and i < k * 3 + 5 group by k",
