@@ -68,14 +68,17 @@ def combine_chunks(chunks: DataFrame, factor: int, values: Sequence[str] = ("v",
     return df.select(F.col("_c").alias("chunk"), F.expr("aggregate(_r.actual_size, 0L, (a, x) -> a + x)").alias("actual_size"), *[F.flatten(f"_r.{v}").alias(v) for v in values])
 
 
-def sliding_window(s: Signal, window: int | Sequence[float], step: int, output_chunksize: int | None = None, padding: bool = False, yield_remainder: bool = True, n: int | None = None) -> DataFrame:
+def sliding_window(s: Signal, window: int | Sequence[float], step: int, output_chunksize: int | str | None = None, padding: bool = False, yield_remainder: bool = True, n: int | None = None) -> DataFrame:
     """Whole windows of a signal: window k holds the rows [k*step, k*step + w), times coefficients where these are given.
 
     With output_chunksize, the windows in batches: batch, actual_size, windows (with padding, windows of zeros fill the
-    last one). There are no partial windows.
+    last one); "auto" makes batches of near one MiB. There are no partial windows.
     """
     coefficients = None if isinstance(window, int) else [float(x) for x in window]
     w = window if coefficients is None else len(coefficients)
+    if output_chunksize == "auto":
+        width = 16 if is_complex(s.kind()) else {"float": 4, "int": 4, "smallint": 2, "tinyint": 1}.get(s.kind().simpleString(), 8)
+        output_chunksize = max(1, (1 << 20) // (max(w, 1) * width))
     if w < 1 or step < 1 or output_chunksize is not None and output_chunksize < 1:
         raise ValueError("window, step and output_chunksize must be positive")
     n = s.length() if n is None else n

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import count, takewhile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from sigframe.operators.arrays import unstacked
 from sigframe.operators.slicing import chunked, concatenate, reverse, zipped
 from sigframe.signal import Signal, signal
 from sigframe.sources.cache import multihash
@@ -46,27 +48,41 @@ def stored(spark: SparkSession, path: str | Sequence[str], values: Sequence[str]
     return reverse(s) if reversed else s
 
 
-def from_hdf5(spark: SparkSession, path: str, name: str = "data", chunksize: int | None = None) -> Signal:
-    """An HDF5 dataset, a task for each run of chunks; needs h5py on all machines, and a path that they share."""
+def from_hdf5(spark: SparkSession, path: str, name: str | Sequence[str] | None = None, chunksize: int | None = None, reversed: bool = False) -> Signal:
+    """HDF5 datasets, a task for each few runs of chunks; needs h5py on all machines, and a path that they share.
+
+    Without a name the dataset data, or data0, data1, .. side by side; several names are side by side, as long as the
+    shortest. Samples with trailing axes are arrays.
+    """
     import h5py
 
     with h5py.File(path, "r") as f:
-        data = f[name]
-        n, size, many, cplx = data.shape[0], chunksize or (data.chunks or (1 << 16,))[0], data.ndim, data.dtype.kind == "c"
-    if many > 2:
-        raise NotImplementedError("datasets of more than two axes")
-    kind = "struct<re:double,im:double>" if cplx else "double"
-    kind = kind if many == 1 else f"array<{kind}>"
-
-    def read(parts):
-        import pandas as pd
+        if name is None:
+            name = "data" if "data" in f else [f"data{i}" for i in takewhile(lambda i: f"data{i}" in f, count())]
+            if not name:
+                raise KeyError(f"{path} has neither data nor data0")
+        names = [name] if isinstance(name, str) else list(name)
+        found = [(n, f[n].shape, f[n].dtype, f[n].chunks) for n in names]
+    if chunksize is not None and len(found) > 1:
+        raise ValueError("chunksize is for one dataset")
+    parts = [_dataset(spark, path, n, shape, kind, chunksize or (chunks or (1 << 16,))[0]) for n, shape, kind, chunks in found]
+    out = parts[0] if isinstance(name, str) else zipped(*parts)
+    out = out.with_df(out.df, identifier=multihash(path, str(name), str(chunksize), str(reversed)))
+    return reverse(out, min(shape[0] for _, shape, _, _ in found)) if reversed else out
+
+
+def _dataset(spark: SparkSession, path: str, name: str, shape: tuple[int, ...], dtype: np.dtype, size: int) -> Signal:
+    to = np.dtype("c16") if dtype.kind == "c" else np.dtype("i8") if dtype.kind in "iu" else np.dtype("f8")
+    element = {"c": "struct<re:double,im:double>", "i": "bigint", "f": "double"}[to.kind]
+    kind = "array<" * (len(shape) - 1) + element + ">" * (len(shape) - 1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import h5py
 
         with h5py.File(path, "r") as f:
-            for part in parts:
-                for start in part["id"]:
-                    x = f[name][start : start + size]
-                    values = [{"re": c.real, "im": c.imag} for c in x] if cplx and many == 1 else [[{"re": c.real, "im": c.imag} for c in r] for r in x] if cplx else list(x.astype(float))
-                    yield pd.DataFrame({"idx": np.arange(start, start + len(x)), "v": values})
-
-    df = spark.range(0, n, size).mapInPandas(read, f"idx bigint, v {kind}")
-    return signal(df.select(F.col("idx"), F.col("v")), identifier=multihash(path, name))
+            for batch in batches:
+                for start in batch.column("id").to_pylist():
+                    x = np.asarray(f[name][start : start + size]).astype(to)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(x))), unstacked(x)], ["idx", "v"])
+
+    return signal(spark.range(0, shape[0], size).mapInArrow(read, f"idx bigint, v {kind}"))

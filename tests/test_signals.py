@@ -385,3 +385,62 @@ def test_rechunk_concatenate(spark):
 
     got = api.rechunk(made(spark, np.arange(10)), 4, concatenate=F.array_max).orderBy("chunk").collect()
     assert [r.v for r in got] == [3, 7, 9]
+
+
+FAKE_H5PY = """
+import numpy as np
+
+
+class Dataset:
+    def __init__(self, x):
+        self.x, self.shape, self.dtype, self.chunks = x, x.shape, x.dtype, (7,)
+
+    def __getitem__(self, at):
+        return self.x[at]
+
+
+class File:
+    def __init__(self, path, mode):
+        self.all = np.load(path)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.all.close()
+
+    def __contains__(self, name):
+        return name in self.all
+
+    def __getitem__(self, name):
+        return Dataset(self.all[name])
+"""
+
+
+def test_hdf5(spark, tmp_path, monkeypatch):
+    """With a stand-in for h5py that reads numpy's files: discovery, several datasets, axes, kinds, order."""
+    (tmp_path / "h5py.py").write_text(FAKE_H5PY)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    x, y, z = np.arange(20), np.random.default_rng(1).standard_normal((23, 2, 3)), np.arange(5) * 1j
+    one, many = str(tmp_path / "one.npz"), str(tmp_path / "many.npz")
+    np.savez(one, data=x, other=z)
+    np.savez(many, data0=x, data1=y, data3=x)
+    assert np.array_equal(taken(api.from_hdf5(spark, one)), x)
+    assert np.array_equal(taken(api.from_hdf5(spark, one, reversed=True, chunksize=3)), x[::-1])
+    assert np.array_equal(taken(api.from_hdf5(spark, one, "other")), z)
+    both = api.from_hdf5(spark, many)
+    a, b = taken(both)
+    assert np.array_equal(a, x) and np.allclose(b, y[:20]) and both.identifier != api.from_hdf5(spark, many, "data0").identifier
+    a, b = taken(api.from_hdf5(spark, many, ["data1", "data0"], reversed=True))
+    assert np.allclose(a, y[:20][::-1]) and np.array_equal(b, x[::-1])
+    with pytest.raises(ValueError):
+        api.from_hdf5(spark, many, chunksize=4)
+
+
+def test_sliding_window_automatic_batches(spark):
+    x = RNG.standard_normal(100)
+    got = api.sliding_window(made(spark, x), 1 << 15, 3, output_chunksize="auto").count()
+    assert got == 0
+    got = api.sliding_window(made(spark, x), 10, 3, output_chunksize="auto").collect()
+    assert [r.actual_size for r in got] == [31]
