@@ -7,16 +7,15 @@ together (in groups of BLOCKS blocks, then over the few groups), and blocks are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from sigframe.functions.complexes import is_complex
 from sigframe.operators.slicing import reverse
-from sigframe.signal import BLOCKS, Signal, block_of
+from sigframe.signal import BLOCKS, Signal, block_of, settled
 
 #: Samples of a block, and blocks that are filtered side by side: vector operations run over blocks.
 SIZE = 1 << 12
@@ -75,7 +74,7 @@ def _filter_real(s: Signal, sos: np.ndarray, size: int) -> Signal:
             out.append(pd.DataFrame({"b": blocks[some], "m": m, "z": list(z.reshape(len(some), n_states))}))
         return pd.concat(out)
 
-    states = df.groupBy("g").applyInPandas(ends, "b long, m long, z array<double>").withColumn("h", block_of("b", BLOCKS)).persist(StorageLevel.MEMORY_AND_DISK)
+    states = df.groupBy("g").applyInPandas(ends, "b long, m long, z array<double>").withColumn("h", block_of("b", BLOCKS))
 
     def through(pdf: pd.DataFrame, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         powers: dict[int, np.ndarray] = {}
@@ -91,21 +90,22 @@ def _filter_real(s: Signal, sos: np.ndarray, size: int) -> Signal:
         c, _ = through(pdf.sort_values("b"), np.zeros(n_states))
         return pd.DataFrame({"h": pdf["h"].iloc[:1], "m": [int(pdf["m"].sum())], "c": [c]})
 
-    # A row for BLOCKS * SIZE samples: the one thing that comes to the driver.
-    groups = states.groupBy("h").applyInPandas(group_end, "h long, m long, c array<double>").orderBy("h").collect()
-    carried, c = [], np.zeros(n_states)
-    for r in groups:
-        carried.append((r["h"], c.tolist()))
-        c = np.linalg.matrix_power(a, int(r["m"])) @ c + np.asarray(r["c"])
-    spark = s.spark
-    first = spark.createDataFrame(carried, "h long, c array<double>")
+    def carried(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = np.zeros(n_states)
+        for pdf in parts:
+            c, before = through(pdf.rename(columns={"c": "z"}), c)
+            yield pd.DataFrame({"h": pdf["h"].to_numpy(), "c": before})
+
+    # A row for BLOCKS * SIZE samples: these few go through one task, a batch at a time.
+    groups = states.groupBy("h").applyInPandas(group_end, "h long, m long, c array<double>")
+    first = groups.repartition(1).sortWithinPartitions("h").mapInPandas(carried, "h long, c array<double>")
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("b")
         _, before = through(pdf, np.asarray(pdf["c"].iloc[0]))
         return pd.DataFrame({"b": pdf["b"].to_numpy(), "c": before})
 
-    starts = states.join(F.broadcast(first), "h").groupBy("h").applyInPandas(carry, "b long, c array<double>")
+    starts = states.join(first, "h").groupBy("h").applyInPandas(carry, "b long, c array<double>")
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         blocks, x, row, place = _rows(pdf, size)
@@ -140,6 +140,6 @@ def sosfiltfilt(sos: Sequence[Sequence[float]], s: Signal, size: int = SIZE, n:
     """The filter forwards, then backwards; no padding, each from rest."""
     n = s.length() if n is None else n
     once = sosfilt(sos, s, size)
-    once = once.with_df(once.df.persist(StorageLevel.MEMORY_AND_DISK))
+    once = once.with_df(settled(once.df))  # two passes read it
     back = sosfilt(sos, reverse(once, n), size)
     return reverse(back, n)
