@@ -13,6 +13,10 @@ from sigframe.operators.arrays import batch_means
 from sigframe.signal import Signal, block_of
 
 
+#: Positions of a block that windows are cut from, unless windows are long.
+SPAN = 1 << 12
+
+
 def pre_rechunk(s: Signal, chunk_size: int, overlap_size: int = 0, yield_remainder: bool = True, n: int | None = None) -> DataFrame:
     """chunk, idx and values: each row once for each chunk that covers it, and none for gaps (a negative overlap).
 
@@ -68,6 +72,25 @@ def combine_chunks(chunks: DataFrame, factor: int, values: Sequence[str] = ("v",
     return df.select(F.col("_c").alias("chunk"), F.expr("aggregate(_r.actual_size, 0L, (a, x) -> a + x)").alias("actual_size"), *[F.flatten(f"_r.{v}").alias(v) for v in values])
 
 
+def _apart(df: DataFrame, w: int, step: int) -> DataFrame:
+    """window and v where windows do not overlap: each row goes to the one window that it is in, or nowhere."""
+    df = df.where(F.col("idx") % step < w).withColumn("window", block_of("idx", step))
+    return df.groupBy("window").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("_r")).select("window", F.col("_r.v").alias("v"))
+
+
+def _overlapping(df: DataFrame, w: int, step: int, count: int) -> DataFrame:
+    """window and v where they do: blocks of positions, each with the w - 1 that follow it, are cut into the windows that
+    begin in them. So a row is shuffled about once, however many windows it is in."""
+    size = max(SPAN, 4 * w)
+    own = block_of("idx", size)
+    two = (F.col("idx") % size < w - 1) & (own > 0)
+    held = df.withColumn("_b", F.explode(F.when(two, F.array(own, own - 1)).otherwise(F.array(own))))
+    held = held.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("_r")).select("_b", F.col("_r.v").alias("_a"))
+    first, last = F.expr(f"(_b * {size} + {step - 1}) div {step}"), F.expr(f"least({count - 1}L, ((_b + 1) * {size} - 1) div {step})")
+    held = held.withColumns({"_k": first, "_z": last}).where("_k <= _z").withColumn("window", F.explode(F.sequence("_k", "_z")))
+    return held.select("window", F.expr(f"slice(_a, cast(window * {step} - _b * {size} + 1 as int), {w})").alias("v"))
+
+
 def sliding_window(s: Signal, window: int | Sequence[float], step: int, output_chunksize: int | str | None = None, padding: bool = False, yield_remainder: bool = True, n: int | None = None) -> DataFrame:
     """Whole windows of a signal: window k holds the rows [k*step, k*step + w), times coefficients where these are given.
 
@@ -83,14 +106,12 @@ def sliding_window(s: Signal, window: int | Sequence[float], step: int, output_c
         raise ValueError("window, step and output_chunksize must be positive")
     n = s.length() if n is None else n
     count = (n - w) // step + 1 if n >= w else 0
-    i = f"`{s.idx}`"
-    df = s.df.select(F.col(s.idx), F.col(s.value).alias("v"))
-    df = df.withColumns({"_lo": F.expr(f"greatest(0L, ({i} - {w} + {step}) div {step})"), "_hi": F.expr(f"least({count - 1}L, {i} div {step})")})
-    df = df.where(f"_lo <= _hi and {i} >= _lo * {step}").withColumn("window", F.explode(F.sequence("_lo", "_hi"))).where(f"{i} < window * {step} + {w}")
+    df = s.df.select(F.col(s.idx).cast("long").alias("idx"), F.col(s.value).alias("v")).where(F.col("idx") < (count - 1) * step + w)
+    out = _overlapping(df, w, step, count) if step < w else _apart(df, w, step)
     if coefficients is not None:
-        by = F.element_at(F.array(*map(F.lit, coefficients)), (F.col(s.idx) - F.col("window") * step + 1).cast("int"))
-        df = df.withColumn("v", scaled(F.col("v"), by) if is_complex(s.kind()) else F.col("v") * by)
-    out = df.groupBy("window").agg(F.sort_array(F.collect_list(F.struct(s.idx, "v"))).alias("_r")).select("window", F.col("_r.v").alias("v"))
+        by = F.array(*map(F.lit, coefficients))
+        times = (lambda x, i: scaled(x, by[i])) if is_complex(s.kind()) else (lambda x, i: x * by[i])
+        out = out.withColumn("v", F.transform("v", times))
     if output_chunksize is None:
         return out
     batches = out.groupBy(block_of("window", output_chunksize).alias("batch")).agg(F.sort_array(F.collect_list(F.struct("window", "v"))).alias("_r"))

@@ -37,8 +37,10 @@ def windows_of(x, w, step):
     return [x[i : i + w] for i in range(0, len(x) - w + 1, step)]
 
 
+@pytest.mark.parametrize("span", [1, 16, 4096])
 @pytest.mark.parametrize("n,w,step", [(100, 5, 3), (100, 3, 7), (100, 10, 10), (60, 10, 1), (0, 3, 2), (4, 5, 1), (10, 10, 5)])
-def test_sliding_window(spark, n, w, step):
+def test_sliding_window(spark, n, w, step, span, monkeypatch):
+    monkeypatch.setattr("sigframe.operators.windows.SPAN", span)
     x = RNG.standard_normal(n)
     got = [r["v"] for r in api.sliding_window(made(spark, x), w, step).orderBy("window").collect()]
     assert np.allclose(got, windows_of(x, w, step)) if got else not windows_of(x, w, step)
