@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -47,6 +48,13 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text_of()).alias("th"))
 
 
+def make_room() -> None:
+    """Drops what another operator's tasks have kept in this worker for their next one: the worker is reused."""
+    kept = sys.modules.get("sigframe.llm.op7_bpe")
+    if kept is not None:
+        kept.codec.cache_clear()
+
+
 #: Rows of text that a Python worker turns into objects at a time; a batch, of which Spark bounds the bytes, has more.
 ROWS = 256
 
@@ -234,6 +242,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def texts_in(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the bytes and offsets of their column text; more than most bytes only for one text."""
+    make_room()
     for batch in batches:
         text = batch.column("text")
         if text.type != pa.large_binary():

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import cut, pieces, read, text_of
+from sigframe.llm.common import cut, make_room, pieces, read, text_of
 
 #: Characters that stand for letters.
 LOOKALIKES = {
@@ -99,6 +99,7 @@ class Lexicon:
     def automaton(self):
         import ahocorasick
 
+        make_room()
         made = ahocorasick.Automaton()
         held: dict[str, tuple[int, float | None, float | None]] = {}  # a key's length, and its weights as word and stem
         for entry, weight in self.weights.items():

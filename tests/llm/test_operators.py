@@ -824,3 +824,16 @@ def test_sections(n):
             seen |= places
             told += zip(k.tolist(), v.tolist())
     assert sorted(told) == sorted([*zip(key.tolist(), value.tolist()), *zip(key[:7].tolist(), value[:7].tolist())])
+
+
+def test_workers_make_room():
+    """What the tokens' tasks keep in a worker goes when it turns to other work."""
+    import public_tokenizers
+
+    from sigframe.llm import common
+
+    given = public_tokenizers.path(op7_bpe.VOCABULARY), public_tokenizers.PATTERN
+    kept = op7_bpe.codec(*given)
+    assert op7_bpe.codec(*given) is kept
+    assert list(common.texts_in(iter([]))) == []
+    assert op7_bpe.codec(*given) is not kept
