@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,8 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """After a cut: lets Spark remove the shuffle files of the plan that was cut, which it does when nothing on the
-    driver refers to them any more."""
+    driver refers to them any more. What Python has dropped the JVM hears of from a thread that wakes once a second;
+    collected before that, the files would stay."""
     gc.collect()
+    untold = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ())
+    until = time.monotonic() + 10
+    while untold and time.monotonic() < until:
+        time.sleep(0.05)
+    time.sleep(0.1)  # the last one is still on its way
     spark.sparkContext._jvm.System.gc()
 
 

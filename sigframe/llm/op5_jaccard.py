@@ -13,6 +13,8 @@ below), and clusters are the components of documents that emit a hash in common.
 nothing are made up for by further groups, or emitted themselves where they are more than these. There are further
 groups still, a quarter more, so that documents that link have not one but more than these in common: those that share
 fewer hashes with all others together (a passage that many documents hold gives a few) drop out before clusters form.
+The others join clusters by their rarest hashes only: of those in common at least one is left when each document drops
+as many of its commonest as are one too few for a link, so that what many documents hold does not chain them together.
 
 Texts with fewer than `words` words have their whole sequence as the only token; without words or text the set is
 empty and links with nothing. Documents with equal sets are one node. A null doc_id is the smallest and is told as
@@ -22,6 +24,7 @@ null; repeated rows each get a row; an empty table gives no row; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,8 @@ from sigframe.llm.components import Union, components, spread_join
 #: Coordinates of a point, entries of a leaf and of an inner node.
 DIMENSIONS = 64
 LEAF = 16
-#: Tokens of the documents that one task joins, at about half of them for each of two parts of a larger cluster.
+#: Tokens of the documents that one task joins, at about half of them for each of two parts of a larger cluster, whose
+#: parts meet in rounds that send each text twice at most.
 CHUNK = 1_500_000
 #: Hashes that a task combines at a time.
 BATCH = 1_000_000
@@ -287,9 +291,19 @@ def candidates(docs: DataFrame, sets: DataFrame, words: int, num: int, den: int)
     counted = shared.groupBy("node", "odd").agg(F.count("*").alias("m"))
     sizes = sets.filter("node is not null").groupBy(F.col("node").alias("own")).agg(F.first("n_shingles").alias("n"))
     many = counted.join(sizes, counted["node"] == sizes["own"]).select("node", "odd", "m", "n").mapInArrow(allowed, "node bigint, odd int, m bigint, most bigint")
-    live = cut(shared.join(many.filter("m > most").select("node", "odd"), ["node", "odd"]).select("node", "h"))
-    least = live.groupBy(F.col("h").alias("g")).agg(F.min("node").alias("a"))
-    return live.join(least, live["h"] == least["g"]).filter("a != node").select("a", F.col("node").alias("b")).distinct()
+    many = many.filter("m > most").select("node", "odd", (F.col("m") - F.col("most")).alias("room"))
+    live = cut(shared.join(many, ["node", "odd"]).select("node", "odd", "h", "room"))
+    del shared, counted, many
+    tidy(docs.sparkSession)
+    held = live.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("nodes"))
+    # One order of all hashes, the rarest first. A window's rows are hashes of one document.
+    order = Window.partitionBy("node", "odd").orderBy("nodes", "h")
+    rare = live.join(held, live["h"] == held["g"]).withColumn("place", F.row_number().over(order))
+    rare = cut(rare.filter("place <= room").select("node", "h"))
+    del live, held
+    tidy(docs.sparkSession)
+    least = rare.groupBy(F.col("h").alias("g")).agg(F.min("node").alias("a"))
+    return rare.join(least, rare["h"] == least["g"]).filter("a != node").select("a", F.col("node").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -298,13 +312,10 @@ def verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, words: int,
     member = one.join(clusters, one["node"] == clusters["id"]).select("node", "one.k", "one.th", "n", "component")
     member = cut(member)
     parts = member.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(float(CHUNK // 2))).alias("parts"))
-    # A cluster of more than two parts is joined two by two of them; each pair of documents meets in some task.
-    placed = member.join(parts, "component").withColumn("own", F.expr("pmod(xxhash64(node), parts)"))
-    tasks = F.expr("case when parts <= 2 then array(struct(0L as i, 1L as j)) else transform(filter(sequence(0L, parts - 1), x -> x != own), x -> struct(least(x, own) as i, greatest(x, own) as j)) end")
-    placed = placed.select("k", "th", "node", "component", F.explode(tasks).alias("t")).select("k", "th", "node", "component", "t.i", "t.j")
-    texts = keyed(docs).select("k", "th", "text").join(placed, ["k", "th"])
+    most = parts.agg(F.max("parts")).first()[0] or 0
+    placed = member.join(parts, "component").select("k", "th", "node", "component", "parts", F.expr("pmod(xxhash64(node), parts)").alias("own"))
+    texts = keyed(docs).select("k", "th", "text").join(placed, ["k", "th"]).select("component", "parts", "own", "node", "text")
     at = ["component", "i", "j"]
-    texts = texts.select(*at, "node", "text").repartition(partitions(docs.sparkSession), *at).sortWithinPartitions(*at, "node")
 
     def solve(held: dict[int, np.ndarray]) -> tuple[list[int], list[int]]:
         nodes = sorted(held)
@@ -326,7 +337,27 @@ def verified(docs: DataFrame, sets: DataFrame, clusters: DataFrame, words: int,
         a, b = solve(held)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return texts.mapInArrow(run, "a bigint, b bigint")
+    def meeting(texts: DataFrame, apart: int) -> DataFrame:
+        """Edges from the tasks of parts that are so far apart, around the circle of a cluster's parts."""
+        met = "pmod(own {0} {1}, parts)"
+        pair = "struct(least(own, {0}) as i, greatest(own, {0}) as j)"
+        tasks = ", ".join(pair.format(met.format(sign, apart)) for sign in "+-")
+        tasks = F.expr(f"case when parts <= 2 then array(struct(0L as i, 1L as j)) else array_distinct(array({tasks})) end")
+        texts = texts.select("component", "node", "text", F.explode(tasks).alias("t")).select("component", "t.i", "t.j", "node", "text")
+        texts = texts.repartition(partitions(docs.sparkSession), *at).sortWithinPartitions(*at, "node")
+        return texts.mapInArrow(run, "a bigint, b bigint")
+
+    if most <= 2:
+        return meeting(texts, 1)
+    # A cluster of more than two parts is joined two by two of them; each pair of documents meets in some task. All pairs
+    # at once would be a text for each other part, so those at one distance meet at a time.
+    texts = cut(texts)
+    tidy(docs.sparkSession)
+    found = []
+    for apart in range(1, most // 2 + 1):
+        found.append(cut(meeting(texts.filter(F.col("parts") >= 2 * apart) if apart > 1 else texts, apart)))
+        tidy(docs.sparkSession)
+    return reduce(DataFrame.union, found)
 
 
 def join(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:

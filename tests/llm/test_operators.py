@@ -3,12 +3,16 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from py4j import clientserver
+from pyspark.sql import functions as F
 
 from sigframe.llm import op1_html, op2_lattice, op3_pii, op4_toxicity, op5_jaccard, op6_mixing, op7_bpe, op8_suffixes, op9_quality, op10_windows
+from sigframe.llm.common import cut, tidy
 from sigframe.llm.components import components, forest
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -500,6 +504,49 @@ def test_distinct_documents(spark, corpus):
     assert op5_jaccard.distinct_documents(docs.where("false")).count() == 0
 
 
+def held_texts(rng, passages, docs):
+    """Documents (passages held, number of own words) as rows; passages are given by number of words."""
+    made = [[f"p{i}x{x}" for x in rng.integers(0, 1 << 30, n)] for i, n in enumerate(passages)]
+    return [(i, " ".join([w for p in held for w in made[p]] + [f"u{x}" for x in rng.integers(0, 1 << 30, own)])) for i, (held, own) in enumerate(docs)]
+
+
+def test_what_many_documents_hold_chains_no_clusters(spark):
+    """All documents hold one passage, and two by two a further one: one cluster of all would be sent part by part."""
+    rows = held_texts(np.random.default_rng(1), [80] + [200] * 20, [((0, 1 + i // 2), 40) for i in range(40)])
+    docs = documents(spark, rows)
+    edges = op5_jaccard.candidates(docs, op5_jaccard.sets_of(docs, 5), 5, 4, 5).toPandas()
+    root, _ = forest(edges["a"].to_numpy(), edges["b"].to_numpy())
+    assert len(root) >= 20 and np.unique(root, return_counts=True)[1].max() < 10
+
+
+def test_a_large_cluster_is_sent_in_rounds(spark, monkeypatch):
+    """However many parts a cluster has, a text goes twice at most through one shuffle, and all parts meet."""
+    rows = held_texts(np.random.default_rng(2), [100] * 3, [((0, 1 + i % 2), 1 + i % 9) for i in range(60)])
+    docs, sent = documents(spark, rows), []
+    monkeypatch.setattr(op5_jaccard, "CHUNK", 3000)  # each 30 texts of 200 tokens have 4 parts
+    monkeypatch.setattr(type(docs), "repartition", lambda df, *a, f=type(docs).repartition: (sent.append(df.count()) if "i" in df.columns else None) or f(df, *a))
+    got = op5_jaccard.join(docs, 5, 4, 5).collect()
+    assert sorted((r.k, r.n_shingles, r["first"]) for r in got) == sorted(brute_join(rows, 5, 4, 5))
+    assert len(sent) > 1 and max(sent) <= 2 * len(rows)
+
+
+def test_tidy_lets_shuffle_files_go(spark, monkeypatch):
+    """What was dropped just before goes by the same call, also where the JVM is late to hear of it."""
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    shuffles = lambda: set(tracker.shuffleStatuses().keySet().mkString(" ").split())
+    counted = lambda: cut(spark.range(1000).groupBy((F.col("id") % 7).alias("m")).count())
+    assert counted().count() == 7
+    monkeypatch.setattr(clientserver, "DEFAULT_WORKER_SLEEP_TIME", 6)
+    time.sleep(1.5)
+    before = shuffles()
+    kept = counted()
+    made = shuffles() - before
+    tidy(spark)
+    time.sleep(0.7)
+    assert made and not made & shuffles()
+    assert kept.count() == 7
+
+
 def test_rtree_finds_all():
     rng = np.random.default_rng(6)
     sets = []
