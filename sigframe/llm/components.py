@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sigframe.llm.common import cut, partitions
 
 MERGED = 16
+#: Edges that one task turns into components, in some 100 MB; more pass labels in rounds.
+FEW = 1_000_000
 
 
 class Union:
@@ -57,24 +59,41 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[own]], nodes[own]
 
 
-def thinned(edges: DataFrame) -> DataFrame:
-    """edges(a, b) with the edges of each MERGED partitions replaced by a forest, in steps of bounded size. (A large
-    component has a forest in each.)"""
+def thinned(edges: DataFrame, tasks: int) -> DataFrame:
+    """edges(a, b) in so many tasks, the edges of each replaced by a forest, in steps of bounded size. (A large component
+    has a forest in each.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = b = np.empty(0, np.int64)
+        held, n = [], 0
+
+        def grown() -> tuple[np.ndarray, np.ndarray]:
+            return forest(*(np.concatenate((x, *(batch.column(c).to_numpy() for batch in held))) for x, c in ((a, "a"), (b, "b"))))
+
         for batch in batches:
-            a = np.concatenate((a, batch.column("a").to_numpy()))
-            b = np.concatenate((b, batch.column("b").to_numpy()))
-            a, b = forest(a, b)
-            if len(a) > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                a = b = np.empty(0, np.int64)
+            held.append(batch)
+            n += len(batch)
+            if n >= max(100_000, len(a)):
+                a, b = grown()
+                held, n = [], 0
+                if len(a) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    a = b = np.empty(0, np.int64)
+        a, b = grown()
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    few = edges.coalesce(max(1, partitions(edges.sparkSession) // MERGED))
-    return few.filter("a != b").select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return edges.coalesce(tasks).filter("a != b").select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, component of all nodes of the edges."""
+    held = [np.empty((2, 0), np.int64), *(np.stack((x.column("a").to_numpy(), x.column("b").to_numpy())) for x in batches)]
+    least, other = forest(*np.concatenate(held, axis=1))
+    roots = np.unique(least)
+    ids, component = np.concatenate((roots, other)), np.concatenate((roots, least))
+    for at in range(0, len(ids), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (ids, component)], ["id", "component"])
 
 
 #: Tasks that the rows of one key are spread over in a join.
@@ -89,15 +108,25 @@ def spread_join(many: DataFrame, few: DataFrame, on: Sequence[str], by: Sequence
     return salted.join(needed, [*on, "_salt"], how).drop("_salt")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """id, component for each node of edges(a, b), both bigint; component is the least id that it reaches. edges should
     be cut or read from a table, as few tasks read them.
 
-    Labels pass along edges and jump to their label's label, so that the rounds are about the logarithm of the longest
-    path. Hubs are combined before the shuffle that takes least labels; in joins, a round's rows of a hub or a label are
-    left to Spark's splitting of skewed partitions, as salting each round would double its shuffles.
+    Edges are replaced by forests in ever fewer tasks. Where a few are left, one task is enough: a round has six shuffles
+    of all partitions, and what the driver holds grows with each. Otherwise labels pass along edges and jump to their
+    label's label, so that the rounds are about the logarithm of the longest path. Hubs are combined before the shuffle
+    that takes least labels; in joins, a round's rows of a hub or a label are left to Spark's splitting of skewed
+    partitions, as salting each round would double its shuffles.
     """
-    thin = thinned(edges)
+    thin, tasks = edges, partitions(edges.sparkSession)
+    while True:
+        tasks = max(1, tasks // MERGED)
+        thin = cut(thinned(thin, tasks))
+        left = thin.count()
+        if left <= few:
+            return cut(thin.coalesce(1).mapInArrow(solved, "id bigint, component bigint"))
+        if tasks == 1 or left > 4 * few:
+            break
     both = cut(thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")))
     while True:

@@ -383,7 +383,8 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_documents(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs, all columns, that are the first (by doc_id, then by a hash of the text) of their component;
     of rows that agree in both, one. Documents with empty sets all stay."""
-    found = join(docs, words, num, den)
+    found = cut(join(docs, words, num, den))
+    tidy(docs.sparkSession)
     # One row of a component stays: the least (k, th) of those whose k is the component's first.
     best = found.filter("node is not null and k = first").groupBy("set_component").agg(F.min(F.struct("k", "th")).alias("one"))
     stay = best.select("one.k", "one.th", F.lit(True).alias("one"))

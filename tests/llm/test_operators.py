@@ -572,6 +572,27 @@ def test_components(spark):
     assert got == {n: want.get(n, n) for e in edges if e[0] != e[1] for n in e}
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    """What the driver keeps of tasks grows with the shuffles of all partitions; edges that fit one task need none."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(80)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(90)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(8)
+    was, sc = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    sc.setJobGroup("few edges", "")
+    try:
+        got = {r.id: r.component for r in components(df).collect()}
+        seen = sc.statusTracker()
+        stages = {s for j in seen.getJobIdsForGroup("few edges") for s in seen.getJobInfo(j).stageIds}
+        tasks = sum(info.numTasks for s in stages if (info := seen.getStageInfo(s)))
+        assert tasks < 60
+        assert got == {r.id: r.component for r in components(df, few=10).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert components(df.limit(0)).count() == 0
+
+
 # ---- 6 ----
 
 
