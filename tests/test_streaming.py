@@ -1,7 +1,9 @@
 """Streams give what the batch operators give."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sigframe.operators.iir import run
 from sigframe.streaming import processors
@@ -59,3 +61,32 @@ def test_apply(stream):
 
     body.has_carry = True
     assert np.allclose(stream(lambda df: processors.stream_apply(body, df.where("not fin"))), np.cumsum(X))
+
+
+@pytest.mark.parametrize("run_size", [7, 50, 1000])
+def test_a_batch_comes_in_sorted_pieces(run_size):
+    """However the samples of a batch arrive, a step gets them by position, a bounded piece at a time."""
+    rng = np.random.default_rng(3)
+    for n, ends in ((0, 0), (1, 1), (200, 0), (201, 2)):
+        at = np.concatenate((rng.permutation(n), np.full(ends, n)))
+        parts = [pd.DataFrame({"idx": some, "v": some * 0.5, "end": some == n}) for some in np.array_split(at, 9)]
+        pieces = list(processors.ordered(iter(parts), run_size, 16))
+        rows = np.concatenate([x for x, _ in pieces])
+        assert rows["idx"].tolist() == list(range(n)) and rows["v"].tolist() == [i * 0.5 for i in range(n)]
+        assert max(len(x) for x, _ in pieces) <= max(16, -(-n // run_size) + 1)
+        assert [last for _, last in pieces] == [False] * (len(pieces) - 1) + [ends > 0]
+
+
+def test_no_step_gets_a_large_batch_whole(spark, tmp_path):
+    def step(held, at, x, end):
+        most = max(held or 0, len(x))
+        return most, at, np.full(len(at), float(most))
+
+    n = 300_000
+    spark.range(n).selectExpr("id as idx", "cast(id as double) as v").orderBy(F.desc("idx")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    df = spark.readStream.schema("idx long, v double").parquet(str(tmp_path / "in"))
+    made = processors.stateful(df, step).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    made.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.agg(F.countDistinct("idx")).first()[0] == got.count() == n
+    assert got.agg(F.max("v")).first()[0] <= 1 << 17
